@@ -3,17 +3,34 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from frostlake.llm import exact_dedup
+from frostlake.llm import exact_dedup, fingerprints, simhash, substring_dedup
 from frostlake.llm.common import table
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark(table(spark, sf_dir, "documents"))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_simhash": op5_simhash,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 #: RE2 and the engine's own patterns take the same blanks.

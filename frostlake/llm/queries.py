@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostlake.llm import exact_dedup, fingerprints, simhash, substring_dedup
+from frostlake.llm import exact_dedup, fingerprints, packing, quality, simhash, substring_dedup, toxicity
 from frostlake.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    in_test = lambda c: F.coalesce(F.crc32(F.col(c).cast("string")) % 5 == 0, F.lit(False))
+    model = toxicity.fitted(docs, table(spark, sf_dir, "labels"), learn=~in_test("id"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", in_test("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
@@ -18,18 +26,38 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    graded = quality.grade(docs, quality.fitted(docs, table(spark, sf_dir, "labels")), carry=["doc_id"])
+    return graded.select("row.doc_id", "expected_grade", "tail_probability", (F.col("tail_probability") >= 0.5).alias("selected"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark(table(spark, sf_dir, "documents"))
 
 
+def vocabulary() -> str:
+    """The public vocabulary that the contract of packing names."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_simhash": op5_simhash,
+    "op6_quality": op6_quality,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_packing": op9_packing,
     "op10_fingerprints": op10_fingerprints,
 }
 

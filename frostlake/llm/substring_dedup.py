@@ -36,10 +36,10 @@ from frostlake.llm.common import shuffle_partitions, text_of
 
 WINDOW = 13
 MINIMISER = 3
-#: Buckets for each shuffle partition, so that one is a small share of a task's memory.
-BUCKETS = 8
-#: Batches for each shuffle partition.
-BATCHES = 2
+#: Bytes of text in a batch, and of strings in a bucket, about: what a task holds at once.
+BATCH_BYTES = 6 << 20
+BUCKET_BYTES = 6 << 20
+LEVEL = 3
 #: A minimiser is split when it has more different strings than so many average buckets.
 HOT = 0.5
 
@@ -117,7 +117,7 @@ def _lowest(ids: list) -> list[int]:
 
 def _pack(strings: list[bytes], lows: np.ndarray) -> bytes:
     body = b"\n".join(strings)
-    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<q", len(strings)) + lows.astype("<i8").tobytes() + body)
+    return zstandard.ZstdCompressor(level=LEVEL).compress(struct.pack("<q", len(strings)) + lows.astype("<i8").tobytes() + body)
 
 
 def _unpack(blob: bytes) -> tuple[bytes, np.ndarray]:
@@ -162,11 +162,15 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, n_words, n_removed, kept): the text left of every row, its words joined by one space."""
     spark = df.sparkSession
     parts = shuffle_partitions(spark)
-    n_batches, n_buckets = BATCHES * parts, BUCKETS * parts
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.encode(text_of(text_col), "UTF-8").alias("text"))
     # A string has about (spots + 1) / 2 windows; words are counted as one for six bytes at the least.
     size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
-    strings = max(1.0, size / 6 / ((window - minimiser + 2) / 2))
+    spread = (window - minimiser + 2) / 2
+    strings = max(1.0, size / 6 / spread)
+    # By size, and small inputs still over as many tasks as there are partitions.
+    packed = size * (spread + window) / spread
+    n_batches = int(max(1, size / BATCH_BYTES, min(parts, size / (1 << 20))))
+    n_buckets = int(max(1, packed / BUCKET_BYTES, min(parts, packed / (1 << 20))))
     most = max(200.0, HOT * strings / n_buckets)
     hot = _hot_minimisers(docs, window, minimiser, most, 8 * parts) if size else np.zeros(0, np.uint64)
     dealt = docs.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(n_batches)).cast("int"))
@@ -191,7 +195,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     low[s], bucket[s] = i, b
                 elif i < old:
                     low[s] = i
-        order = sorted(low, key=bucket.__getitem__)
+        order = sorted(low)  # neighbours that begin alike pack well
+        order.sort(key=bucket.__getitem__)
         where = np.array([bucket[s] for s in order], np.int64)
         lows = np.array([low[s] for s in order], np.int64)
         cuts = np.flatnonzero(np.diff(where, prepend=-1))
@@ -240,7 +245,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         by: dict[int, list] = {}
         for b, s, m in out:
             by.setdefault(b, []).append((s, m))
-        blobs_out = [(b, zstandard.ZstdCompressor(level=1).compress(b"".join(struct.pack("<ii", len(s), len(m)) + s + m for s, m in x))) for b, x in sorted(by.items())]
+        blobs_out = [(b, zstandard.ZstdCompressor(level=LEVEL).compress(b"".join(struct.pack("<ii", len(s), len(m)) + s + m for s, m in x))) for b, x in sorted(by.items())]
         return pa.table([pa.array([x[0] for x in blobs_out], pa.int32()), pa.array([x[1] for x in blobs_out], pa.binary())], names=["batch", "reply"])
 
     def remove(key, left: pa.Table, right: pa.Table) -> pa.Table:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostlake.llm import exact_dedup, fingerprints, packing, quality, simhash, substring_dedup, toxicity
+from frostlake.llm import exact_dedup, fingerprints, packing, pii, quality, simhash, substring_dedup, toxicity
 from frostlake.llm.common import table
 
 
@@ -32,6 +32,13 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded.select("row.doc_id", "expected_grade", "tail_probability", (F.col("tail_probability") >= 0.5).alias("selected"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    base = tuple(k.name for k in pii.BASE)
+    counts = [F.expr(f"size(filter(spans, z -> z.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in base]
+    return found.select("doc_id", *counts, F.sha2(F.encode(pii.told(F.col("spans"), base), "UTF-8"), 256).alias("base_sha256"), pii.told(F.col("spans")).alias("spans"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark(table(spark, sf_dir, "documents"))
 
@@ -56,6 +63,7 @@ QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
+    "op7_pii": op7_pii,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_packing": op9_packing,
     "op10_fingerprints": op10_fingerprints,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostlake.llm import exact_dedup, fingerprints, packing, pii, quality, simhash, substring_dedup, toxicity
+from frostlake.llm import exact_dedup, fingerprints, mixing, packing, pii, quality, simhash, substring_dedup, toxicity
 from frostlake.llm.common import table
 
 
@@ -17,6 +17,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", in_test("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+#: Target shares of tokens by language.
+MIX = {"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2}
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labelled = docs.select("doc_id", F.col("lang").alias("domain")).join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    model = mixing.classifier(docs, labelled, list(MIX))
+    rated = mixing.copies(mixing.rates(mixing.posteriors(docs, model), list(MIX.values())))
+    return rated.select(F.col("id").alias("doc_id"), "tokens", *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(MIX)], "rate", "copies")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
@@ -60,6 +72,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_mixing": op2_mixing,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,

@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from frostlake.llm.common import BLANKS, materialise, shuffle_partitions, text_of
 
@@ -124,7 +125,7 @@ def mark(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 def distinct_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that stay, with all their columns."""
     parts = _sorted_parts(df, id_col, text_col, df.columns)
-    schema = parts.schema.add("at_edge", "boolean")
+    schema = StructType([*parts.schema.fields, StructField("at_edge", BooleanType())])
     firsts = parts.mapInArrow(_firsts, schema)
     rest = [F.col(f"rest.`{c}`").alias(c) for c in df.columns]
     inner = firsts.where(~F.col("at_edge")).select(*rest)

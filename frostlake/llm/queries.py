@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostlake.llm import exact_dedup, fingerprints, mixing, packing, pii, quality, simhash, substring_dedup, toxicity
+from frostlake.llm import exact_dedup, fingerprints, html_extraction, mixing, packing, pii, quality, simhash, substring_dedup, toxicity
 from frostlake.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select(F.col("id").alias("doc_id"), "tokens", *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(MIX)], "rate", "copies")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
@@ -73,6 +77,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
+    "op3_html_extraction": op3_html_extraction,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,

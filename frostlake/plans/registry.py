@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frostlake.operators import enrich, rejects
-from frostlake.plans import reports
+from frostlake.plans import reports, stored
 from frostlake.plans.batch import Flow
 from frostlake.plans.oracles import flow
 from frostlake.sources import fixtures, framing
 from frostlake.sources.schemas import METADATA
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(stored.QUERIES)
+ORACLES: dict[str, str] = dict(stored.ORACLES)
 
 _PLACE = ["source_topic", "source_partition", "source_offset"]
 

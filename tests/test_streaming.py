@@ -20,7 +20,7 @@ def until(condition, seconds: int = 150) -> None:
 
 
 def test_ingest_and_refine_reach_the_batch_result(spark, tmp_path):
-    p = simulator.Profile(event_count=60, device_count=3, duplicate_rate=0.2, invalid_rate=0.1, out_of_order_rate=0.0, too_late_rate=0.0)
+    p = simulator.Profile(event_count=25, device_count=2, duplicate_rate=0.2, invalid_rate=0.1, out_of_order_rate=0.0, too_late_rate=0.0)
     made = simulator.records(spark, p).drop("category", "duplicate", "id")
     columns = ["source_topic", "source_partition", "source_offset", "kafka_timestamp", "kafka_key", "schema_id", "payload", "ingested_at"]
     made.select(*columns).coalesce(1).write.parquet(f"{tmp_path}/in")
@@ -32,7 +32,7 @@ def test_ingest_and_refine_reach_the_batch_result(spark, tmp_path):
         one.stop()
     total = made.count()
     flow = Flow(made.withColumn("arrival", F.unix_millis("ingested_at")))
-    assert lake["bronze.raw_events"].read().count() == total and lake["silver.device_metadata_history"].read().count() == 3
+    assert lake["bronze.raw_events"].read().count() == total and lake["silver.device_metadata_history"].read().count() == 2
     invalid = flow.rejected.where("disposition = 'INVALID' AND error_code <> 'MISSING_METADATA'").count()
     assert lake["silver.rejected_events"].read().count() == invalid
     want = sorted(r.event_id for r in flow.joined.where("metadata_version IS NOT NULL").select("event_id").collect())

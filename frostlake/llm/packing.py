@@ -14,6 +14,7 @@ further columns are left alone, whatever their names.
 from __future__ import annotations
 
 import heapq
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -99,10 +100,12 @@ class Encoder(dict):
         self.special = [x.content.lower().encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _ids(self, ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, stretch: bytes) -> bytes:
-        if len(stretch) > 1 and stretch[-1] in b".,|!" and stretch[-2 : -1].isalnum():
+        if stretch.isalpha():  # lower-case letters of ASCII stand for themselves
+            return self._kept(stretch, self._ids([t.id for t in self.tokenizer.model.tokenize(stretch.decode())]))
+        if len(stretch) > 1 and stretch[-1] in b".,|!" and stretch[-2:-1].isalnum():
             return self[stretch[:-1]] + self[stretch[-1:]]
         word = stretch.decode()
         low = word.lower()
@@ -110,6 +113,9 @@ class Encoder(dict):
             out = self._ids([t.id for t in self.tokenizer.model.tokenize("".join([self.stand_in[b] for b in low.encode()]))])
         else:
             out = self._ids(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        return self._kept(stretch, out)
+
+    def _kept(self, stretch: bytes, out: bytes) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
         if len(stretch) <= 64:

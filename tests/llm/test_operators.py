@@ -16,7 +16,6 @@ from hypothesis import strategies as st
 from frostlake.llm import exact_dedup, fingerprints, html_extraction, mixing, packing, pii, quality, simhash, substring_dedup, textvec, toxicity
 from frostlake.llm.components import components
 from frostlake.llm.html_blocks import blocks
-from frostlake.llm.queries import vocabulary
 
 WORDS = [f"w{i}" for i in range(400)]
 LONG = " ".join(WORDS[i * i % 397] for i in range(30_000))
@@ -150,14 +149,14 @@ def test_components_of_a_long_path(spark):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="ab cÉé \t\n1.,'!ſİ<|endoftx>", max_size=40), max_size=5))
 def test_encoder_is_the_tokenizer(texts):
-    encoder = packing._encoder(vocabulary())
+    encoder = packing._encoder(packing.vocabulary())
     for t in texts:
         assert np.frombuffer(encoder.encode(t), "<u4").tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
 
 
 def test_packing(docs, empty):
-    rows = packing.pack(docs, vocabulary()).collect()
-    encoder = packing._encoder(vocabulary())
+    rows = packing.pack(docs, packing.vocabulary()).collect()
+    encoder = packing._encoder(packing.vocabulary())
     by: dict = {}
     for r in rows:
         by.setdefault(key(r.doc_id), []).append(r)
@@ -176,7 +175,7 @@ def test_packing(docs, empty):
             assert offset == at
             at += length
         assert at <= 2048
-    assert packing.pack(empty, vocabulary()).count() == 0
+    assert packing.pack(empty, packing.vocabulary()).count() == 0
 
 
 @settings(max_examples=40, deadline=None)

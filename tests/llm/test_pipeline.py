@@ -8,7 +8,6 @@ import numpy as np
 
 import corpus_pipeline
 from frostlake.llm import packing, quality, simhash
-from frostlake.llm.queries import vocabulary
 
 
 def corpus(spark, path):
@@ -61,6 +60,6 @@ def test_stages(spark, tmp_path):
     # Mixing repeats nothing and leaves most.
     assert kept[4].count() == kept[4].distinct().count() and len(ids[4]) > 0.6 * len(ids[3])
     # All ids of what is left are packed.
-    encoder = packing._encoder(vocabulary())
+    encoder = packing._encoder(packing.vocabulary())
     want = sum(len(encoder.encode(r.text or "")) // 4 + 1 for r in kept[4].collect())
     assert kept[5].agg({"length": "sum"}).first()[0] == want and ids[5] == ids[4]

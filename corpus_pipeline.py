@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from frostlake.llm import exact_dedup, mixing, packing, quality, simhash
 from frostlake.llm.common import materialise, table
-from frostlake.llm.queries import vocabulary
 
 #: Wanted shares of tokens by language, near those of the corpus; documents are kept or left out, never repeated.
 MIX = {"en": 0.60, "fr": 0.15, "de": 0.15, "es": 0.10}
@@ -49,7 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of at most 2048 tokens."""
-    return packing.pack(docs, vocabulary())
+    return packing.pack(docs, packing.vocabulary())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

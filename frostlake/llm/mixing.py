@@ -32,7 +32,7 @@ EVIDENCE = 40
 SMOOTHING = 0.5
 #: Pull of every rate towards 1, which makes the solution unique.
 PULL = 1e-3
-STEPS = 60
+STEPS = 30
 TOLERANCE = 1e-4
 
 
@@ -94,9 +94,10 @@ def rates(known: DataFrame, targets: list[float], budget: float = 1.0, most: flo
     if not tokens:
         return known.withColumn("rate", F.lit(1.0))
     spread = np.array([[first[f"m{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)]) / tokens
-    scale = 1.0 / np.maximum(np.diag(spread), 1e-9)  # a small domain's error weighs as much as a large one's
-    half = np.sqrt(scale)
-    step = 1.0 / (float(np.linalg.eigvalsh(spread * half[:, None] * half[None, :])[-1]) + PULL)
+    # Errors are weighted by the inverse of this matrix, which leaves the solution where it is and makes the
+    # problem perfectly conditioned: one step reaches it where no bound is met, a few where some are.
+    weight = np.linalg.inv(spread + 1e-6 * np.trace(spread) * np.eye(n))
+    step = 1.0 / (1.0 + PULL)
     goal = np.array(targets) / sum(targets) * budget
     rate: Column = F.lit(1.0)
     least_change = None
@@ -107,8 +108,8 @@ def rates(known: DataFrame, targets: list[float], budget: float = 1.0, most: flo
         if change < TOLERANCE or (least_change is not None and abs(least_change - change) < TOLERANCE / 100):
             break
         least_change = change
-        # rate - step * (posterior . scaled error + PULL * (rate - 1)), put back between the bounds.
-        pull = sum((p[i] * float(step * scale[i] * off[i]) for i in range(n)), F.lit(0.0))
+        # rate - step * (posterior . weighted error + PULL * (rate - 1)), put back between the bounds.
+        pull = sum((p[i] * float(x) for i, x in enumerate(step * (weight @ off))), F.lit(0.0))
         rate = F.greatest(F.lit(0.0), rate * (1 - step * PULL) - pull + step * PULL)
         rate = F.least(F.lit(float(most)), rate) if most is not None else rate
     return known.withColumn("rate", rate)

@@ -31,7 +31,7 @@ SAMPLE = 8000
 EVIDENCE = 40
 SMOOTHING = 0.5
 #: Pull of every rate towards 1, which makes the solution unique.
-PULL = 1e-3
+PULL = 1e-5
 STEPS = 30
 TOLERANCE = 1e-4
 
@@ -89,27 +89,32 @@ def rates(known: DataFrame, targets: list[float], budget: float = 1.0, most: flo
     known = materialise(known)
     n = len(targets)
     p = [F.col(f"p{i}") for i in range(n)]
-    first = known.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t"), *[F.coalesce(F.sum(F.col("tokens") * p[i] * p[j]), F.lit(0.0)).alias(f"m{i}_{j}") for i in range(n) for j in range(i, n)]).first()
-    tokens = float(first.t)
-    if not tokens:
-        return known.withColumn("rate", F.lit(1.0))
-    spread = np.array([[first[f"m{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)]) / tokens
-    # Errors are weighted by the inverse of this matrix, which leaves the solution where it is and makes the
-    # problem perfectly conditioned: one step reaches it where no bound is met, a few where some are.
-    weight = np.linalg.inv(spread + 1e-6 * np.trace(spread) * np.eye(n))
-    step = 1.0 / (1.0 + PULL)
     goal = np.array(targets) / sum(targets) * budget
     rate: Column = F.lit(1.0)
-    least_change = None
-    for _ in range(steps):
-        got = known.agg(*[F.sum(F.col("tokens") * p[i] * rate).alias(f"e{i}") for i in range(n)]).first()
-        off = np.array([got[i] for i in range(n)]) / tokens - goal
+    last = None
+    step = 1.0 / (1.0 + PULL)
+    for turn in range(steps):
+        # A number per domain and per pair of domains comes to the driver: expected tokens, and how they answer to the
+        # documents that are free to move (all at first, then those at no bound).
+        free = (F.col("rate") > 0) & (F.lit(True) if most is None else F.col("rate") < most) if turn else F.lit(True)
+        now = known.select("tokens", *p, rate.alias("rate"))
+        expected = [F.sum(F.col("tokens") * F.col("rate") * p[i]).alias(f"e{i}") for i in range(n)]
+        mass = [F.sum(F.col("tokens") * p[i]).alias(f"t{i}") for i in range(n)]
+        moving = [F.sum(F.when(free, F.col("tokens") * p[i] * p[j])).alias(f"m{i}_{j}") for i in range(n) for j in range(i, n)]
+        got = now.agg(F.sum("tokens").alias("tokens"), *expected, *mass, *moving).first()
+        tokens = float(got.tokens or 0)
+        if not tokens:
+            break
+        off = np.array([got[f"e{i}"] for i in range(n)]) / tokens - goal
         change = float(np.abs(off / goal.clip(1e-9)).max())
-        if change < TOLERANCE or (least_change is not None and abs(least_change - change) < TOLERANCE / 100):
+        if change < TOLERANCE or (last is not None and abs(last - change) < 0.02 * change):
             break
-        least_change = change
-        # rate - step * (posterior . weighted error + PULL * (rate - 1)), put back between the bounds.
-        pull = sum((p[i] * float(x) for i, x in enumerate(step * (weight @ off))), F.lit(0.0))
+        last = change
+        answer = np.array([[got[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(n)] for i in range(n)]) / tokens
+        answer += 1e-3 * np.diag([got[f"t{i}"] / tokens + 1e-9 for i in range(n)])
+        # rate - step * (posterior . weighted error + PULL * (rate - 1)), put back between the bounds. Errors are weighted by
+        # the inverse of that answer: where the targets can be met the solution is the same, and few steps reach it.
+        pull = sum((p[i] * float(x) for i, x in enumerate(step * np.linalg.solve(answer, off))), F.lit(0.0))
         rate = F.greatest(F.lit(0.0), rate * (1 - step * PULL) - pull + step * PULL)
         rate = F.least(F.lit(float(most)), rate) if most is not None else rate
     return known.withColumn("rate", rate)

@@ -2,35 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from frostlake.llm.common import materialise
 
 
-def _least(links: DataFrame) -> DataFrame:
-    """(u, m): the least neighbour of u, itself included. Written, so that a join with it can split a
-    node that holds a large share of all links."""
-    return materialise(links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links (u long, v long), the root being the least node of its component.
 
-    Rounds of large and small stars: each keeps the components and brings the links nearer to
-    stars around the roots, in about the logarithm of the longest path. Every round is written to the
-    shared folder. Self links and repeated links do no harm; no links give no rows."""
-    now = materialise(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    Rounds of large and small stars: each keeps the components and brings the links nearer to stars around the
+    roots, in about the logarithm of the longest path. A link is (upper, lower). The large star moves a link's
+    lower end to the least node beside it; nodes with very many links are lower ends, so that join is one that
+    Spark can split. The small star then ties each upper node's lower ones to their least. Every round is
+    written to the shared folder. Self links and repeated links do no harm; no links give no rows."""
+    now = materialise(links.where("u <> v").select(F.greatest("u", "v").alias("upper"), F.least("u", "v").alias("lower")).distinct())
     mark = None
     while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialise(large.where("u <> v").distinct())
-        least = _least(large)
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = materialise(small.where("u <> v").distinct())
-        seen = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if seen == mark:
+        beside = materialise(now.groupBy(F.col("upper").alias("node")).agg(F.min("lower").alias("least")))
+        large = now.join(beside, now.lower == beside.node, "left").select("upper", F.coalesce("least", "lower").alias("lower"))
+        least = large.withColumn("least", F.min("lower").over(Window.partitionBy("upper")))
+        small = least.select(F.explode(F.array(F.struct(F.col("upper"), F.col("least").alias("lower")), F.struct(F.col("lower").alias("upper"), F.col("least").alias("lower")))).alias("x"))
+        small = small.select("x.upper", "x.lower").where("upper <> lower").distinct()
+        seen = Observation()
+        now = materialise(small.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("upper", "lower").cast("decimal(38,0)")).alias("h")))
+        got = (seen.get["n"], seen.get["h"])
+        if got == mark:
             break
-        mark = seen
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        mark = got
+    return now.select(F.col("upper").alias("node"), F.col("lower").alias("root")).unionByName(now.select(F.col("lower").alias("node"), F.col("lower").alias("root")).distinct())

@@ -21,9 +21,9 @@ def until(condition, seconds: int = 150) -> None:
 
 def test_ingest_and_refine_reach_the_batch_result(spark, tmp_path):
     p = simulator.Profile(event_count=25, device_count=2, duplicate_rate=0.2, invalid_rate=0.1, out_of_order_rate=0.0, too_late_rate=0.0)
-    made = simulator.records(spark, p).drop("category", "duplicate", "id")
     columns = ["source_topic", "source_partition", "source_offset", "kafka_timestamp", "kafka_key", "schema_id", "payload", "ingested_at"]
-    made.select(*columns).coalesce(1).write.parquet(f"{tmp_path}/in")
+    simulator.records(spark, p).select(*columns).coalesce(1).write.parquet(f"{tmp_path}/in")
+    made = spark.read.parquet(f"{tmp_path}/in")
     lake = Lake(spark, f"file://{tmp_path}/lake")
     one = jobs.ingest(jobs.raw_stream(spark, f"{tmp_path}/in"), lake, f"{tmp_path}/feeds", f"{tmp_path}/c1")
     try:
@@ -51,7 +51,8 @@ def test_ingest_and_refine_reach_the_batch_result(spark, tmp_path):
 
 def test_replayed_batch_changes_nothing(spark, tmp_path):
     p = simulator.Profile(event_count=20, device_count=2)
-    batch = simulator.records(spark, p).drop("category", "duplicate", "id")
+    simulator.records(spark, p).drop("category", "duplicate", "id").write.parquet(f"{tmp_path}/in")
+    batch = spark.read.parquet(f"{tmp_path}/in")
     lake = Lake(spark, f"file://{tmp_path}/lake").create()
     write = jobs.ingest_batch(lake, f"{tmp_path}/feeds")
     write(batch, 0)

@@ -15,7 +15,7 @@ def corpus(spark, path):
     languages = {"en": "the of and to", "fr": "le la des pour", "de": "der die und mit", "es": "el los que por"}
     rows = []
     for i in range(160):
-        lang = list(languages)[i % 4]
+        lang = (["en"] * 12 + ["fr"] * 3 + ["de"] * 3 + ["es"] * 2)[i * 7 % 20]  # near the wanted shares
         words = [w + str(int(r.integers(50))) if r.random() < 0.6 else w for w in r.choice(languages[lang].split(), 60)]
         text = " ".join(words)
         if i % 10 == 3:

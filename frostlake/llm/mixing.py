@@ -2,10 +2,11 @@
 
 A classifier fitted on a labelled table gives every document a posterior over domains (multinomial naive Bayes on
 hashed words, its evidence tempered so that long texts stay soft). Documents then get nonnegative rates
-by projected-gradient least squares: the expected tokens of each domain, rate times tokens times posterior
-summed over all documents, are to equal its target. Each step sends one number per domain to the driver;
-a document's rate follows from these and its own posterior alone, so no rate is shuffled. Everything is
-DataFrame expressions.
+by bounded least squares: the expected tokens of each domain, rate times tokens times posterior summed over
+all documents, are to equal its target, errors weighted by the inverse of the targets. Steps are Newton's, on the
+dual, and end when the projected gradient is small in all domains, also where some target is out of reach. Each
+step sends a few numbers per domain to the driver; a document's rate follows from these and its own
+posterior alone, so no rate is shuffled. Everything is DataFrame expressions.
 
 Defined cases: a null text is an empty text; a text without words has the prior as posterior and no
 tokens; rows that share an identifier are one document here and share a rate, null identifiers too;
@@ -15,6 +16,7 @@ an empty table gives no rows; further columns are carried along, whatever their
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,8 +34,11 @@ EVIDENCE = 40
 SMOOTHING = 0.5
 #: Pull of every rate towards 1, which makes the solution unique.
 PULL = 1e-5
-STEPS = 30
+STEPS = 100
+#: Of the projected gradient, in shares of a domain's target.
 TOLERANCE = 1e-4
+#: Step lengths that are tried at once.
+LENGTHS = tuple(2.0**-k for k in range(24))
 
 
 @dataclass(frozen=True)
@@ -90,34 +95,41 @@ def rates(known: DataFrame, targets: list[float], budget: float = 1.0, most: flo
     n = len(targets)
     p = [F.col(f"p{i}") for i in range(n)]
     goal = np.array(targets) / sum(targets) * budget
-    rate: Column = F.lit(1.0)
-    last = None
-    step = 1.0 / (1.0 + PULL)
-    for turn in range(steps):
-        # A number per domain and per pair of domains comes to the driver: expected tokens, and how they answer to the
-        # documents that are free to move (all at first, then those at no bound).
-        free = (F.col("rate") > 0) & (F.lit(True) if most is None else F.col("rate") < most) if turn else F.lit(True)
-        now = known.select("tokens", *p, rate.alias("rate"))
-        expected = [F.sum(F.col("tokens") * F.col("rate") * p[i]).alias(f"e{i}") for i in range(n)]
-        mass = [F.sum(F.col("tokens") * p[i]).alias(f"t{i}") for i in range(n)]
+    scale = goal.clip(1e-4)
+    # The objective is sum((expected - goal) ** 2 / scale) / 2 + PULL / 2 * sum(share of tokens * (rate - 1) ** 2). At its minimum
+    # a rate is 1 - posterior . y / PULL, put between the bounds, with y = (expected - goal) / scale: a number per domain.
+    dot = lambda x: sum((p[i] * float(x[i]) for i in range(n)), F.lit(0.0))
+    raw = lambda y: 1 - dot(y / PULL)
+    bounded = lambda x: F.greatest(F.lit(0.0), x) if most is None else F.least(F.lit(float(most)), F.greatest(F.lit(0.0), x))
+    y = np.zeros(n)
+    for _ in range(steps):
+        # Expected tokens, and how they answer to the documents that are free to move, come to the driver.
+        now = known.select("tokens", *p, raw(y).alias("raw"))
+        free = (F.col("raw") > 0) & (F.lit(True) if most is None else F.col("raw") <= most)
+        expected = [F.sum(F.col("tokens") * bounded(F.col("raw")) * p[i]).alias(f"e{i}") for i in range(n)]
         moving = [F.sum(F.when(free, F.col("tokens") * p[i] * p[j])).alias(f"m{i}_{j}") for i in range(n) for j in range(i, n)]
-        got = now.agg(F.sum("tokens").alias("tokens"), *expected, *mass, *moving).first()
+        got = now.agg(F.sum("tokens").alias("tokens"), *expected, *moving).first()
         tokens = float(got.tokens or 0)
         if not tokens:
             break
-        off = np.array([got[f"e{i}"] for i in range(n)]) / tokens - goal
-        change = float(np.abs(off / goal.clip(1e-9)).max())
-        if change < TOLERANCE or (last is not None and abs(last - change) < 0.02 * change):
+        slope = np.array([got[f"e{i}"] for i in range(n)]) / tokens - goal - scale * y
+        # No rate's projected gradient is larger than this, whichever domains can be met.
+        if np.abs(slope / scale).max() < TOLERANCE:
             break
-        last = change
-        answer = np.array([[got[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(n)] for i in range(n)]) / tokens
-        answer += 1e-3 * np.diag([got[f"t{i}"] / tokens + 1e-9 for i in range(n)])
-        # rate - step * (posterior . weighted error + PULL * (rate - 1)), put back between the bounds. Errors are weighted by
-        # the inverse of that answer: where the targets can be met the solution is the same, and few steps reach it.
-        pull = sum((p[i] * float(x) for i, x in enumerate(step * np.linalg.solve(answer, off))), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate * (1 - step * PULL) - pull + step * PULL)
-        rate = F.least(F.lit(float(most)), rate) if most is not None else rate
-    return known.withColumn("rate", rate)
+        answer = np.array([[got[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(n)] for i in range(n)]) / tokens / PULL
+        move = np.linalg.solve(answer + np.diag(scale), slope)
+        # The dual is concave along the move: the longest of these steps at which it still rises, then between that and the next.
+        now = known.select("tokens", raw(y).alias("raw"), dot(move).alias("move"))
+        gains = now.agg(*[F.sum(F.col("tokens") * F.col("move") * bounded(F.col("raw") - F.col("move") * (x / PULL))).alias(f"g{i}") for i, x in enumerate(LENGTHS)]).first()
+        rises = [gains[i] / tokens - float((goal + scale * (y + x * move)) @ move) for i, x in enumerate(LENGTHS)]
+        at = next((i for i, x in enumerate(rises) if x >= 0), len(LENGTHS) - 1)
+        length = LENGTHS[at]
+        if at and rises[at] >= 0:
+            length += (LENGTHS[at - 1] - length) * rises[at] / (rises[at] - rises[at - 1])
+        y = y + length * move
+    else:
+        warnings.warn(f"mixing rates are not settled after {steps} steps", stacklevel=2)
+    return known.withColumn("rate", bounded(raw(y)))
 
 
 def copies(rated: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from frostlake.llm import packing, quality, simhash
+from frostlake.llm import mixing, packing, quality, simhash
 
 
 def corpus(spark, path):
@@ -63,3 +64,54 @@ def test_stages(spark, tmp_path):
     encoder = packing._encoder(packing.vocabulary())
     want = sum(len(encoder.encode(r.text or "")) // 4 + 1 for r in kept[4].collect())
     assert kept[5].agg({"length": "sum"}).first()[0] == want and ids[5] == ids[4]
+
+
+def fitted_shares(tokens, p, goal, n=20_000):
+    """Expected shares of tokens of the bounded least-squares rates, by accelerated projected gradient on all documents."""
+    share = tokens / tokens.sum()
+    step = 1 / np.linalg.eigvalsh((p * share[:, None]).T @ p / np.sqrt(np.outer(goal, goal))).max()
+    rate = ahead = np.ones(len(tokens))
+    k = 1.0
+    for _ in range(n):
+        new = np.clip(ahead - step * (p @ (((share * ahead) @ p - goal) / goal)), 0, 1)
+        if (ahead - new) @ (new - rate) > 0:
+            k = 1.0
+        after = (1 + np.sqrt(1 + 4 * k * k)) / 2
+        ahead, rate, k = new + (k - 1) / after * (new - rate), new, after
+    return (share * rate) @ p
+
+
+def check_fit(rated):
+    p, tokens = rated[["p0", "p1", "p2", "p3"]].to_numpy(), rated.tokens.to_numpy(float)
+    goal = np.array(list(corpus_pipeline.MIX.values())) * corpus_pipeline.BUDGET
+    got = (tokens / tokens.sum() * rated.rate.to_numpy()) @ p
+    want = fitted_shares(tokens, p, goal)
+    assert want[0] < 0.75 * goal[0] and np.abs(got / goal - want / goal).max() < 0.002
+
+
+def test_rates_are_the_bounded_fit_of_every_domain(spark):
+    r = np.random.default_rng(7)
+    domain, scores = r.choice(4, 400, p=[0.4, 0.2, 0.2, 0.2]), r.normal(0, 1, (400, 4))
+    scores[np.arange(400), domain] += 3
+    p = np.exp(scores) / np.exp(scores).sum(axis=1, keepdims=True)
+    known = spark.createDataFrame([(i, int(r.integers(20, 400)), *map(float, x)) for i, x in enumerate(p)], "id long, tokens long, p0 double, p1 double, p2 double, p3 double")
+    check_fit(mixing.rates(known, list(corpus_pipeline.MIX.values()), corpus_pipeline.BUDGET, most=1.0).toPandas())
+
+
+def test_mixing_with_targets_out_of_reach(spark, tmp_path):
+    languages = {"en": "the of and to", "fr": "le la des pour", "de": "der die und mit", "es": "el los que por"}
+    r = np.random.default_rng(6)
+    mixed = [w for x in languages.values() for w in x.split()]
+    rows = []
+    for i in range(160):
+        lang = list(languages)[i % 4]  # equal languages: the target of en cannot be met
+        rows.append((i, " ".join(r.choice(languages[lang].split() if r.random() < 0.6 else mixed) for _ in range(40 + i % 30)), lang, f"src{i % 3}", 0))
+    path = f"file://{tmp_path}"
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(160)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    model = mixing.classifier(docs, docs.select("doc_id", F.col("lang").alias("domain")), list(corpus_pipeline.MIX))
+    rated = mixing.rates(mixing.posteriors(docs, model), list(corpus_pipeline.MIX.values()), corpus_pipeline.BUDGET, most=1.0).toPandas()
+    check_fit(rated)
+    kept = corpus_pipeline.mix_sources(spark, docs, path)
+    assert kept.count() == kept.distinct().count() == mixing.copies(spark.createDataFrame(rated)).where("copies > 0").count()

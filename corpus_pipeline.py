@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostlake.llm import exact_dedup, mixing, packing, quality, simhash
+from frostlake.llm import exact_dedup, mixing, near_copies, packing, quality
 from frostlake.llm.common import materialise, table
 
 #: Wanted shares of tokens by language, near those of the corpus; documents are kept or left out, never repeated.
@@ -31,10 +31,12 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that SimHash links, the document with the smallest identifier. Rows without
-    identifier are a document each and stay."""
-    groups = simhash.near_duplicates(docs.where("doc_id is not null"))
-    gone = materialise(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
+    """Of each group that SimHash proposes and five-word shingles of similarity 0.8 or more link, the document with the
+    smallest identifier. Rows without identifier are a document each and stay."""
+    numbered = materialise(docs.where("doc_id is not null").select("doc_id", "text", F.monotonically_increasing_id().alias("row")))
+    members = near_copies.groups(numbered, "row").join(numbered.select("row", "doc_id"), "row")
+    least = members.groupBy("group").agg(F.min("doc_id").alias("least"))
+    gone = materialise(members.join(least, "group").where("doc_id <> least").select(F.col("doc_id").alias("__gone")).distinct())
     return docs.join(gone, docs.doc_id == gone["__gone"], "left_anti")
 
 

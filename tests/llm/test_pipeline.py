@@ -115,3 +115,30 @@ def test_mixing_with_targets_out_of_reach(spark, tmp_path):
     check_fit(rated)
     kept = corpus_pipeline.mix_sources(spark, docs, path)
     assert kept.count() == kept.distinct().count() == mixing.copies(spark.createDataFrame(rated)).where("copies > 0").count()
+
+
+def edited(r, words, n):
+    words = list(words)
+    for at in r.choice(len(words), n, replace=False):
+        words[at] = f"edit{r.integers(10**6)}"
+    return words
+
+
+def test_near_copies_are_those_of_similarity(spark):
+    r = np.random.default_rng(8)
+    texts = []
+    for _ in range(60):
+        base = [f"w{x}" for x in r.integers(0, 500, int(r.integers(60, 500)))]
+        texts += [base] + [edited(r, base, int(r.integers(0, max(2, len(base) // 25)))) for _ in range(3)]
+    texts += [edited(r, texts[0], 1) for _ in range(200)] + [[], ["one", "two"], ["One", "two"], ["one", "three"]]
+    sets = [{tuple(w.lower() for w in t[k : k + 5]) for k in range(max(1, len(t) - 4)) if t} for t in texts]
+    group = list(range(len(texts)))
+    for _ in range(6):
+        for a, x in enumerate(sets):
+            for b in range(a):
+                if group[a] != group[b] and (x == sets[b] or len(x & sets[b]) >= 0.8 * len(x | sets[b])):
+                    group[a] = group[b] = min(group[a], group[b])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    left = {x.doc_id for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert left == {i for i, g in enumerate(group) if i == g} and 60 < len(left) < 200
+    assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), "").count() == 0

@@ -52,6 +52,16 @@ def _with(digits: str, test: str) -> str:
     return f"exists(array({digits}), d -> {test})"
 
 
+#: Lengths of account numbers by country, so that what follows a number is not taken for a part of it. Other
+#: countries' numbers are taken as long as they go.
+_IBAN = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_LISTED = "|".join(rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, codes in _IBAN.items())
+_CODES = "|".join(_IBAN.values()).replace(" ", "|")
+
 #: The base kinds in the order of the contract, then those that the method adds.
 BASE = (
     Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.9, "contains(text, '@')", words=r"mail|contact", gain=0.1),
@@ -60,7 +70,7 @@ BASE = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.6, "contains(text, '+')", "length(regexp_replace(m, '[^0-9]', '')) BETWEEN 10 AND 15", r"phone|tel|call|mobile", 0.3),
 )
 ADDED = (
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", 0.7, "rlike(text, '[A-Z]{2}[0-9]{2}')", _with("replace(m, ' ', '')", f"length(d) BETWEEN 15 AND 34 AND {_MOD97}"), r"iban|account|bank|konto|compte|cuenta", 0.3),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?:{_LISTED}|(?!{_CODES})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}+)(?![A-Za-z0-9])", 0.7, "rlike(text, '[A-Z]{2}[0-9]{2}')", _with("replace(m, ' ', '')", f"length(d) BETWEEN 15 AND 34 AND {_MOD97}"), r"iban|account|bank|konto|compte|cuenta", 0.3),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3, "rlike(text, '[0-9]-[0-9]')", "NOT rlike(m, '^(000|666|9..)|-00-|0000$')", r"\bssn\b|social.security", 0.5),
 )
 KINDS = BASE + ADDED

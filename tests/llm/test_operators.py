@@ -231,6 +231,17 @@ def test_pii_spans_and_redaction(spark, empty):
     assert pii.find(empty).count() == 0
 
 
+def test_pii_iban_before_other_words(spark):
+    ibans = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO9386011117947", "FR1420041010050500013M02606"]
+    after = [" Bank of X", " Please pay", " 2024-01-01", " A", ", B", "", " GB82WEST12345698765432"]
+    rows = [(i * 10 + j, f"pay {x}{y}") for i, x in enumerate(ibans) for j, y in enumerate(after)] + [(90, "DE89370400440532013001 Bank"), (91, "DE893704004405320130001 x"), (92, "XDE89370400440532013000")]
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: [r.text[s.start : s.end] for s in r.spans if s.kind == "iban"] for r in found.collect()}
+    assert all(got[i * 10 + j] == [x] + ["GB82WEST12345698765432"] * (j == 6) for i, x in enumerate(ibans) for j in range(len(after)))
+    assert got[90] == got[91] == got[92] == []
+    assert {r.doc_id: r.text for r in pii.redact(found).collect()}[0] == "pay [IBAN] Bank of X"
+
+
 def labelled(spark):
     r = np.random.default_rng(3)
     rows = []

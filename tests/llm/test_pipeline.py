@@ -142,3 +142,14 @@ def test_near_copies_are_those_of_similarity(spark):
     left = {x.doc_id for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
     assert left == {i for i, g in enumerate(group) if i == g} and 60 < len(left) < 200
     assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), "").count() == 0
+
+
+def test_one_row_of_each_group_of_near_copies(spark):
+    r = np.random.default_rng(9)
+    a, b, c, d = ([f"w{x}" for x in r.integers(0, 500, 200)] for _ in range(4))
+    rows = [(3, a), (5, edited(r, a, 1)), (5, b), (7, c), (7, edited(r, c, 1)), (None, d), (None, edited(r, d, 1)), (None, edited(r, a, 1)), (9, c)]
+    docs = spark.createDataFrame([(i, " ".join(t), 1) for i, t in rows], "doc_id long, text string, row int")
+    left = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert left.columns == docs.columns
+    got = [(x.doc_id, x.text.split()) for x in left.collect()]
+    assert sorted(str(i) for i, _ in got) == ["3", "5", "7", "None"] and (3, a) in got and (5, b) in got

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from frostlake.functions.scalars import one_line_base64
+from frostlake.operators.lateness import is_late, is_missing
 from frostlake.sources.schemas import SENSOR_TOPICS
 
 COLUMNS = ("disposition", "error_code", "error_message", "event_id", "device_id", "event_time", "source_topic", "source_partition", "source_offset", "kafka_timestamp", "schema_id", "payload_base64", "lateness_ms", "watermark_ms")
@@ -14,11 +16,6 @@ NO_METADATA = ("MISSING_METADATA", "No metadata version was effective for this e
 OLD = ("EVENT_TIME_TOO_OLD", "Event exceeded the five-minute allowed-lateness boundary")
 
 
-def encoded(payload: str | Column) -> Column:
-    """Base64 in one line."""
-    return F.regexp_replace(F.base64(payload), "[\r\n]", "")
-
-
 def _shaped(rows: DataFrame, given: dict[str, Column]) -> DataFrame:
     kinds = {"kafka_timestamp": "timestamp", "schema_id": "int", "lateness_ms": "bigint", "watermark_ms": "bigint", "event_time": "bigint"}
     return rows.select(*[given.get(c, F.lit(None)).cast(kinds.get(c, rows.schema[c].dataType if c in rows.columns else "string")).alias(c) for c in COLUMNS])
@@ -32,21 +29,20 @@ def invalid(validated: DataFrame) -> DataFrame:
     """Invalid rows with their payload. Only decoded sensor records tell their event and device."""
     known = F.col("source_topic").isin(*SENSOR_TOPICS) & F.col("decode_code").isNull()
     own = {c: F.when(known, F.col(c)) for c in ("event_id", "device_id", "event_time")}
-    rest = {"disposition": F.lit(INVALID), "error_code": F.col("error_code"), "error_message": F.col("error_message"), "kafka_timestamp": F.col("kafka_timestamp"), "schema_id": F.col("schema_id"), "payload_base64": encoded("payload")}
+    rest = {"disposition": F.lit(INVALID), "error_code": F.col("error_code"), "error_message": F.col("error_message"), "kafka_timestamp": F.col("kafka_timestamp"), "schema_id": F.col("schema_id"), "payload_base64": one_line_base64("payload")}
     return _shaped(validated.where(F.col("error_code").isNotNull()), _source() | own | rest)
 
 
-def _of_event(code: tuple[str, str], disposition: str) -> dict[str, Column]:
-    return _source() | {c: F.col(c) for c in ("event_id", "device_id", "event_time")} | {"disposition": F.lit(disposition), "error_code": F.lit(code[0]), "error_message": F.lit(code[1])}
-
-
-def missing_metadata(unmatched: DataFrame) -> DataFrame:
-    return _shaped(unmatched, _of_event(NO_METADATA, INVALID))
-
-
-def too_late(late: DataFrame) -> DataFrame:
-    more = {"lateness_ms": F.greatest(F.lit(0), F.col("watermark_ms") - F.col("event_time")), "watermark_ms": F.col("watermark_ms")}
-    return _shaped(late, _of_event(OLD, TOO_LATE) | more)
+def set_aside(joined: DataFrame) -> DataFrame:
+    """The rejects of the events joined with metadata, in one pass: those without any, and of the others the late ones."""
+    rows = joined.where(is_missing() | is_late())
+    either = lambda missing, late: F.when(is_missing(), missing).otherwise(late)
+    late_by = F.greatest(F.lit(0), F.col("watermark_ms") - F.col("event_time"))
+    told = {
+        "disposition": either(F.lit(INVALID), F.lit(TOO_LATE)), "error_code": either(F.lit(NO_METADATA[0]), F.lit(OLD[0])), "error_message": either(F.lit(NO_METADATA[1]), F.lit(OLD[1])),
+        "lateness_ms": F.when(~is_missing(), late_by), "watermark_ms": F.when(~is_missing(), F.col("watermark_ms")),
+    }
+    return _shaped(rows, _source() | {c: F.col(c) for c in ("event_id", "device_id", "event_time")} | told)
 
 
 def union(*parts: DataFrame) -> DataFrame:
@@ -58,6 +54,7 @@ def union(*parts: DataFrame) -> DataFrame:
 
 
 def feed(rejected: DataFrame, disposition: str) -> DataFrame:
-    """JSON messages of one disposition, without payload, keyed by device."""
+    """JSON messages of one disposition, without payload but with the time at which they were made, keyed by device."""
     names = ("disposition", "error_code", "error_message", "event_id", "device_id", "event_time", "source_topic", "source_partition", "source_offset")
-    return rejected.where(F.col("disposition") == disposition).select(F.col("device_id").alias("key"), F.to_json(F.struct(*names)).alias("value"))
+    told = rejected.where(F.col("disposition") == disposition).withColumn("rejected_at", F.unix_millis(F.current_timestamp()))
+    return told.select(F.col("device_id").alias("key"), F.to_json(F.struct(*names, "rejected_at")).alias("value"))

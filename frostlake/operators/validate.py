@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from frostlake.functions.scalars import blank, within
 from frostlake.sources.schemas import METADATA
 
 #: Event types, codes and messages that rejected rows carry.
@@ -24,16 +25,6 @@ MESSAGES = {
 OUT_OF_RANGE = " is outside its valid range"
 
 
-def blank(name: str) -> Column:
-    """Null, empty, or white space only (as Java counts it)."""
-    return F.coalesce(F.col(name).rlike(r"\A\p{javaWhitespace}*\z"), F.lit(True))
-
-
-def within(name: str, low: float, high: float) -> Column:
-    """A finite number between the bounds, which are in. Null and NaN are not."""
-    return F.coalesce(F.col(name).between(F.lit(float(low)), F.lit(float(high))), F.lit(False))
-
-
 def _fails(code: str, message: Column | None = None) -> Column:
     return F.struct(F.lit(code).alias("code"), (F.lit(MESSAGES[code]) if message is None else message).alias("message"))
 

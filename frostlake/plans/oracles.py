@@ -7,12 +7,15 @@ from __future__ import annotations
 FLOW = r"""
 WITH ev AS (
     SELECT event_id, user_id, event_type AS kind, value, CAST(json_extract_string(props, '$.k') AS INT) AS k, epoch_us(ts) // 1000 AS et,
-           event_id % 211 = 0 AS malformed
+           event_id % 211 = 0 AS unframed, event_id % 419 = 3 AS tombstone, event_id % 431 = 5 AS cut_off, unframed OR tombstone OR cut_off AS malformed,
+           event_id % 307 = 5 AS no_sequence, event_id % 223 = 9 AND event_type <> 'signup' AS no_time, event_id % 101 = 7 AND event_type = 'view' AS no_type, event_id % 53 = 3 AND event_type = 'error' AS no_detection,
+           event_id % 61 = 2 AND event_type = 'signup' AS no_version, event_id % 67 = 3 AND event_type = 'signup' AS no_vehicle,
+           event_type = 'signup' AND NOT (malformed OR no_sequence OR no_version OR no_vehicle) AND k <> 13 AS good_signup
     FROM events),
 fx AS (
     SELECT *, 'device-' || lpad(CAST(user_id AS VARCHAR), 4, '0') AS device,
            CASE WHEN kind IN ('click', 'view') THEN 'telemetry' WHEN kind = 'purchase' THEN 'location' WHEN kind = 'error' THEN 'detection' ELSE 'metadata' END AS source_topic,
-           greatest(1, sum(CASE WHEN kind = 'signup' AND NOT malformed AND k <> 13 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY et, event_id)) AS version,
+           greatest(1, sum(CASE WHEN good_signup THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY et, event_id)) AS version,
            et + CASE WHEN event_id % 97 = 0 THEN 900000 ELSE (event_id * 7919) % 60 * 1000 END AS came
     FROM ev),
 rw AS (
@@ -23,17 +26,18 @@ ro AS (
     FROM rw),
 r AS (
     SELECT *, max(et) OVER (ORDER BY arrival, source_topic, source_partition, source_offset ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 60001 AS watermark_ms,
-           CASE WHEN kind = 'click' THEN 'TELEMETRY_TEMPERATURE' WHEN kind = 'view' AND k < 67 THEN 'TELEMETRY_HUMIDITY' WHEN kind = 'view' THEN 'TELEMETRY_BATTERY'
+           CASE WHEN kind = 'click' THEN 'TELEMETRY_TEMPERATURE' WHEN no_type THEN 'TELEMETRY_PRESSURE' WHEN kind = 'view' AND k < 67 THEN 'TELEMETRY_HUMIDITY' WHEN kind = 'view' THEN 'TELEMETRY_BATTERY'
                 WHEN kind = 'purchase' THEN 'LOCATION' WHEN kind = 'error' THEN 'DETECTION' END AS event_type,
            CASE WHEN kind = 'error' AND k = 0 THEN '' ELSE device END AS device_id
-    FROM ro),
+    FROM ro WHERE /*kept*/ true),
 v AS (
-    SELECT *, CASE WHEN malformed THEN 'AVRO_DECODE_ERROR' WHEN device_id = '' THEN 'MISSING_IDENTITY'
+    SELECT *, CASE WHEN tombstone THEN 'NOT_AVRO_RECORD' WHEN malformed THEN 'AVRO_DECODE_ERROR' WHEN device_id = '' THEN 'MISSING_IDENTITY' WHEN no_sequence THEN 'INVALID_SEQUENCE'
+        WHEN no_version THEN 'INVALID_METADATA_VERSION' WHEN no_vehicle THEN 'INVALID_METADATA' WHEN no_type THEN 'UNKNOWN_EVENT_TYPE' WHEN no_time THEN 'INVALID_TIMESTAMP'
         WHEN kind = 'click' AND NOT value BETWEEN -50 AND 100 THEN 'INVALID_MEASUREMENT'
         WHEN kind = 'view' AND NOT value BETWEEN 0 AND 100 THEN 'INVALID_MEASUREMENT'
         WHEN kind = 'purchase' AND NOT (2 * k - 90 BETWEEN -90 AND 90 AND value - 180 BETWEEN -180 AND 180) THEN 'INVALID_COORDINATES'
         WHEN kind = 'purchase' AND NOT (value BETWEEN 0 AND 250 AND k BETWEEN 0 AND 10000) THEN 'INVALID_LOCATION_READING'
-        WHEN kind = 'signup' AND k = 13 THEN 'INVALID_TEMPERATURE_RANGE' END AS code
+        WHEN no_detection THEN 'INVALID_DETECTION' WHEN kind = 'signup' AND k = 13 THEN 'INVALID_TEMPERATURE_RANGE' END AS code
     FROM r),
 md AS (
     SELECT CAST(event_id AS VARCHAR) AS event_id, device_id, CAST(version AS INT) AS metadata_version, et AS effective_from, 'shipment-' || user_id || '-' || (version % 3)::INT AS shipment_id,
@@ -74,5 +78,14 @@ hm AS (
 """
 
 
-def flow(select: str) -> str:
-    return FLOW + select
+#: What a producer would have counted, from the events alone.
+MANIFEST = """(SELECT CAST(sum(copies) AS BIGINT) AS produced_total, CAST(sum(copies) - count(*) AS BIGINT) AS duplicates, CAST(sum(copies) FILTER (malformed) AS BIGINT) AS malformed,
+    CAST(sum(copies) FILTER (NOT malformed AND (no_sequence OR no_time OR no_type OR no_detection OR no_version OR no_vehicle OR (kind = 'error' AND k = 0) OR (kind = 'click' AND value > 100)
+        OR (kind = 'view' AND value > 100) OR (kind = 'purchase' AND (k > 90 OR value > 250)) OR (kind = 'signup' AND k = 13))) AS BIGINT) AS logical,
+    CAST(sum(copies) FILTER (event_id % 97 = 0) AS BIGINT) AS too_late, CAST(sum(copies) FILTER (kind <> 'signup') AS BIGINT) AS configured, count(*) FILTER (good_signup) AS metadata
+    FROM (SELECT *, CASE WHEN event_id % 100 = 1 THEN 2 ELSE 1 END AS copies FROM ev))"""
+
+
+def flow(select: str, kept: str = "true") -> str:
+    """kept: a condition on the raw records that get into the flow."""
+    return FLOW.replace("/*kept*/ true", kept) + select

@@ -8,24 +8,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostlake.operators import enrich, rejects
-from frostlake.plans import reports, stored
+from frostlake.operators import decode, enrich, lateness, rejects, validate
+from frostlake.plans import reports, texts
+from frostlake.plans import stored as stored_queries
 from frostlake.plans.batch import Flow
-from frostlake.plans.oracles import flow
-from frostlake.sources import fixtures, framing
+from frostlake.plans.oracles import MANIFEST, flow
+from frostlake.sources import avro, fixtures, framing
 from frostlake.sources.schemas import METADATA
+from frostlake.sources.shared import stored
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(stored.QUERIES)
-ORACLES: dict[str, str] = dict(stored.ORACLES)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(stored_queries.QUERIES) | texts.QUERIES
+ORACLES: dict[str, str] = dict(stored_queries.ORACLES) | texts.ORACLES
 
 _PLACE = ["source_topic", "source_partition", "source_offset"]
 
 
 def _query(name: str, oracle: str | None = None):
-    """Registers a function of the flow."""
+    """Registers a function of the flow, whose raw records are a stored table as they are in the lake."""
 
     def add(build: Callable[[Flow], DataFrame]) -> Callable[[Flow], DataFrame]:
-        QUERIES[name] = lambda spark, sf_dir: build(Flow(fixtures.raw(spark, sf_dir)))
+        QUERIES[name] = lambda spark, sf_dir: build(Flow(stored(fixtures.raw(spark, sf_dir))))
         if oracle:
             ORACLES[name] = flow(oracle)
         return build
@@ -38,7 +40,7 @@ def raw_capture(f: Flow) -> DataFrame:
     return f.raw.select(*_PLACE, F.unix_millis("kafka_timestamp").alias("kafka_ms"), F.unix_millis("ingested_at").alias("ingested_ms"), F.decode("kafka_key", "UTF-8").alias("kafka_key"))
 
 
-@_query("schema_id_framing", "SELECT source_topic, CASE WHEN NOT malformed THEN CASE source_topic WHEN 'telemetry' THEN 1 WHEN 'location' THEN 2 WHEN 'detection' THEN 3 ELSE 4 END END AS schema_id, count(*) AS records FROM r GROUP BY ALL")
+@_query("schema_id_framing", "SELECT source_topic, CASE WHEN NOT unframed AND NOT tombstone THEN CASE source_topic WHEN 'telemetry' THEN 1 WHEN 'location' THEN 2 WHEN 'detection' THEN 3 ELSE 4 END END AS schema_id, count(*) AS records FROM r GROUP BY ALL")
 def schema_id_framing(f: Flow) -> DataFrame:
     return f.raw.groupBy("source_topic", framing.schema_id("payload").alias("schema_id")).agg(F.count(F.lit(1)).alias("records"))
 
@@ -65,9 +67,24 @@ def reject_reasons(f: Flow) -> DataFrame:
     return bad.groupBy("error_code", F.when(F.col("error_code") == "INVALID_MEASUREMENT", F.col("error_message")).alias("measurement_message")).agg(F.count(F.lit(1)).alias("records"))
 
 
-@_query("reject_payloads", "SELECT source_topic, source_partition, source_offset, to_base64('not-confluent-avro'::BLOB) AS payload_base64 FROM v WHERE malformed")
+@_query("reject_payloads", """SELECT source_topic, source_partition, source_offset, code AS error_code,
+    CASE WHEN tombstone THEN NULL WHEN unframed THEN to_base64('not-confluent-avro'::BLOB)
+         ELSE to_base64(('\\x00\\x00\\x00\\x00' || CASE source_topic WHEN 'telemetry' THEN '\\x01' WHEN 'location' THEN '\\x02' WHEN 'detection' THEN '\\x03' ELSE '\\x04' END)::BLOB || encode('{"event_id": "' || event_id)) END AS payload_base64
+    FROM v WHERE malformed""")
 def reject_payloads(f: Flow) -> DataFrame:
-    return rejects.invalid(f.validated).where("error_code = 'AVRO_DECODE_ERROR'").select(*_PLACE, "payload_base64")
+    return rejects.invalid(f.validated).where("error_code IN ('AVRO_DECODE_ERROR', 'NOT_AVRO_RECORD')").select(*_PLACE, "error_code", "payload_base64")
+
+
+@_query("decode_detections", """SELECT source_topic, source_partition, source_offset, CASE WHEN no_detection THEN ' ' WHEN k < 42 THEN 'DOOR_OPEN' WHEN k < 84 THEN 'DOOR_CLOSED' ELSE 'SHOCK' END AS detection_type,
+    CASE WHEN k >= 84 AND value / 10 > 6 THEN 'CRITICAL' WHEN k < 42 THEN 'WARNING' ELSE 'INFO' END AS severity, CASE WHEN k >= 84 THEN value / 10 END AS magnitude
+    FROM r WHERE kind = 'error' AND NOT malformed""")
+def decode_detections(f: Flow) -> DataFrame:
+    return f.validated.where("source_topic = 'detection' AND decode_code IS NULL").select(*_PLACE, "detection_type", "severity", "magnitude")
+
+
+@_query("decode_locations", "SELECT source_topic, source_partition, source_offset, CAST(2 * k - 90 AS DOUBLE) AS latitude, value - 180 AS longitude, value AS speed_kph, CAST(k AS DOUBLE) AS accuracy_m FROM r WHERE kind = 'purchase' AND NOT malformed")
+def decode_locations(f: Flow) -> DataFrame:
+    return f.validated.where("source_topic = 'location' AND decode_code IS NULL").select(*_PLACE, "latitude", "longitude", "speed_kph", "accuracy_m")
 
 
 @_query("dedup_events", "SELECT CAST(event_id AS VARCHAR) AS event_id, arrival, source_topic, source_partition, source_offset FROM dd")
@@ -87,7 +104,7 @@ def asof_enrich(f: Flow) -> DataFrame:
 
 @_query("missing_metadata", "SELECT event_id, device_id, event_time, source_topic FROM ej WHERE metadata_version IS NULL")
 def missing_metadata(f: Flow) -> DataFrame:
-    return rejects.missing_metadata(f.joined.where("metadata_version IS NULL")).select("event_id", "device_id", "event_time", "source_topic")
+    return rejects.set_aside(f.joined).where("disposition = 'INVALID'").select("event_id", "device_id", "event_time", "source_topic")
 
 
 @_query("breach_alerts", "SELECT event_id, device_id, shipment_id, event_time, numeric_value AS measured_temperature_c, 'TEMPERATURE_RANGE_BREACH' AS alert_type FROM en WHERE breach")
@@ -97,7 +114,7 @@ def breach_alerts(f: Flow) -> DataFrame:
 
 @_query("late_router", "SELECT event_id, event_time, watermark_ms, greatest(0, watermark_ms - event_time) AS lateness_ms FROM lt")
 def late_router(f: Flow) -> DataFrame:
-    return rejects.too_late(f.late).select("event_id", "event_time", "watermark_ms", "lateness_ms")
+    return rejects.set_aside(f.joined).where("disposition = 'TOO_LATE'").select("event_id", "event_time", "watermark_ms", "lateness_ms")
 
 
 @_query("arrival_watermark", "SELECT source_topic, source_partition, source_offset, watermark_ms FROM r")
@@ -143,7 +160,7 @@ def top_exposure(f: Flow) -> DataFrame:
 
 
 @_query("gps_gaps", """SELECT shipment_id, device_id, previous_event_time, event_time, (event_time - previous_event_time) // 60000 AS gap_minutes, latitude, longitude
-    FROM (SELECT *, lag(event_time) OVER (PARTITION BY device_id ORDER BY event_time, event_id::BIGINT) AS previous_event_time FROM en WHERE event_type = 'LOCATION')
+    FROM (SELECT *, lag(event_time) OVER (PARTITION BY device_id ORDER BY event_time, event_id) AS previous_event_time FROM en WHERE event_type = 'LOCATION')
     WHERE (event_time - previous_event_time) // 60000 > 10""")
 def gps_gaps(f: Flow) -> DataFrame:
     return reports.gps_gaps(f.enriched)
@@ -201,9 +218,8 @@ def manifest_counts(f: Flow) -> DataFrame:
     (SELECT count(*) FROM ej WHERE metadata_version IS NULL) AS missing_metadata_records, (SELECT count(*) FROM lt) AS too_late_records""")
 def operator_counters(f: Flow) -> DataFrame:
     valid = f.validated.agg(F.count_if(F.col("error_code").isNotNull()).alias("invalid_records"), F.count_if(F.col("error_code").isNull() & (F.col("source_topic") != METADATA)).alias("sensors"))
-    rest = f.joined.agg(F.count(F.lit(1)).alias("first"), F.count_if(F.col("metadata_version").isNull()).alias("missing_metadata_records"))
-    late = f.late.agg(F.count(F.lit(1)).alias("too_late_records"))  # single rows
-    return valid.crossJoin(rest).crossJoin(late).select("invalid_records", (F.col("sensors") - F.col("first")).alias("duplicate_records"), "missing_metadata_records", "too_late_records")
+    rest = f.joined.agg(F.count(F.lit(1)).alias("first"), F.count_if(lateness.is_missing()).alias("missing_metadata_records"), F.count_if(~lateness.is_missing() & lateness.is_late()).alias("too_late_records"))
+    return valid.crossJoin(rest).select("invalid_records", (F.col("sensors") - F.col("first")).alias("duplicate_records"), "missing_metadata_records", "too_late_records")  # single rows
 
 
 @_query("metadata_validity", """SELECT device_id, metadata_version, effective_from AS valid_from, lead(effective_from) OVER (PARTITION BY device_id ORDER BY effective_from) AS valid_to FROM mt""")
@@ -211,17 +227,56 @@ def metadata_validity(f: Flow) -> DataFrame:
     return enrich.validity(f.metadata).select("device_id", F.col("m.metadata_version").alias("metadata_version"), "valid_from", "valid_to")
 
 
-@_query("reconcile_checks", """, n AS (SELECT (SELECT count(*) FROM r) AS produced, (SELECT count(*) FROM md) AS meta, (SELECT count(*) FROM v WHERE code IS NOT NULL) AS bad, (SELECT count(*) FROM lt) AS late,
-        (SELECT count(*) FROM en) AS enr, (SELECT count(*) FROM hm) AS hrs, (SELECT count(*) FROM r WHERE kind <> 'signup') AS sensors, (SELECT count(*) FROM r WHERE event_id % 97 = 0) AS too_late)
-    SELECT * FROM (SELECT 'raw_rows' AS check_name, produced AS actual, produced AS expected, true AS passed FROM n UNION ALL SELECT 'raw_duplicates', 0, 0, true FROM n
-    UNION ALL SELECT 'metadata_rows', meta, meta, true FROM n UNION ALL SELECT 'enriched_duplicates', 0, 0, true FROM n UNION ALL SELECT 'invalid_rows', bad, bad, true FROM n
-    UNION ALL SELECT 'late_rows_bound', late, too_late, late <= too_late AND (late > 0 OR too_late = 0) FROM n UNION ALL SELECT 'enriched_rows_bound', enr, sensors - bad, enr > 0 AND enr <= sensors - bad FROM n
-    UNION ALL SELECT 'hourly_rows_bound', hrs, 1, hrs >= 1 FROM n)""")
-def reconcile_checks(f: Flow) -> DataFrame:
-    """The producer's counters are taken from the raw records, as the test tables have no manifest."""
-    made = f.validated.agg(
-        F.count(F.lit(1)).alias("produced_total"), F.count_if(F.col("decode_code").isNotNull()).alias("invalid_malformed"), F.count_if(F.col("decode_code").isNull() & F.col("error_code").isNotNull()).alias("invalid_logical"),
-        F.count_if(F.unix_millis("ingested_at") - F.unix_millis("kafka_timestamp") >= 900_000).alias("too_late"), F.count_if(F.col("source_topic") != METADATA).alias("configured_sensor_events"),
-        F.count_distinct(F.when((F.col("source_topic") == METADATA) & F.col("error_code").isNull(), F.struct("device_id", "metadata_version"))).alias("metadata"),
-    ).first()
-    return reports.reconcile(f.raw, f.metadata, f.enriched, f.rejected, f.hourly, made.asDict())
+@_query("hourly_finalized", "SELECT * FROM hm WHERE window_end - 1 <= (SELECT max(et) - 60001 FROM r)")
+def hourly_finalized(f: Flow) -> DataFrame:
+    return f.finalized
+
+
+#: Actual numbers from the flow, expected ones from the events alone.
+_CHECKS = f""", n AS (SELECT (SELECT count(*) FROM r) AS raw, (SELECT count(*) FROM md) AS meta, (SELECT count(*) FROM v WHERE code IS NOT NULL) AS bad, (SELECT count(*) FROM lt) AS late,
+        (SELECT count(*) FROM r) - (SELECT count(DISTINCT (source_topic, source_partition, source_offset)) FROM r) AS raw_again, (SELECT count(*) - count(DISTINCT event_id) FROM en) AS en_again,
+        (SELECT count(*) FROM en) AS enr, (SELECT count(*) FROM hm) AS hrs, mf.* FROM {MANIFEST} mf)
+    SELECT check_name, CAST(actual AS BIGINT) AS actual, CAST(expected AS BIGINT) AS expected, passed FROM (
+    SELECT 'raw_rows' AS check_name, raw AS actual, produced_total AS expected, raw = produced_total AS passed FROM n UNION ALL SELECT 'raw_duplicates', raw_again, 0, raw_again = 0 FROM n
+    UNION ALL SELECT 'metadata_rows', meta, metadata, meta = metadata FROM n UNION ALL SELECT 'enriched_duplicates', en_again, 0, en_again = 0 FROM n
+    UNION ALL SELECT 'invalid_rows', bad, logical + malformed, bad = logical + malformed FROM n
+    UNION ALL SELECT 'late_rows_bound', late, too_late, late <= too_late AND (late > 0 OR too_late = 0) FROM n
+    UNION ALL SELECT 'enriched_rows_bound', enr, configured - logical - malformed, enr > 0 AND enr <= configured - logical - malformed FROM n
+    UNION ALL SELECT 'hourly_rows_bound', hrs, 1, hrs >= 1 FROM n)"""
+#: Of the raw records those that a run with losses would have; a fiftieth of each partition is gone.
+_KEPT = "source_offset % 50 <> 0"
+
+
+def _reconciled(spark: SparkSession, sf_dir: str, kept: str = "true") -> DataFrame:
+    f = Flow(stored(fixtures.raw(spark, sf_dir).where(kept))).store_joined()
+    return reports.reconcile(f.raw, f.metadata, f.enriched, f.rejected, f.hourly, fixtures.manifest(spark, sf_dir))
+
+
+def reconcile_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flow's results against what the producer counted."""
+    return _reconciled(spark, sf_dir)
+
+
+def reconcile_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of a run that lost records, which the checks must tell."""
+    return _reconciled(spark, sf_dir, _KEPT)
+
+
+def decode_avro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with binary bodies through the decoder and the rules."""
+    got = validate.validate(decode.decode(fixtures.avro_raw(spark, sf_dir), avro.record()))
+    return got.select(*_PLACE, "error_code", "schema_id", *[F.when(F.col("decode_code").isNull(), F.col(c)).alias(c) for c in ("event_id", "device_id", "event_time", "event_type", "numeric_value", "signal_strength_dbm", "latitude", "severity", "metadata_version")])
+
+
+QUERIES |= {"reconcile_checks": reconcile_checks, "reconcile_losses": reconcile_losses, "decode_avro": decode_avro}
+ORACLES |= {
+    "reconcile_checks": flow(_CHECKS),
+    "reconcile_losses": flow(_CHECKS, _KEPT),
+    "decode_avro": flow("""SELECT source_topic, source_partition, source_offset, CASE WHEN bad AND NOT tombstone THEN 'AVRO_DECODE_ERROR' ELSE code END AS error_code,
+        CASE WHEN unframed OR tombstone THEN NULL WHEN kind IN ('click', 'view') THEN CASE WHEN event_id % 2 = 0 AND NOT cut_off THEN 5 ELSE 1 END WHEN kind = 'purchase' THEN 2 WHEN kind = 'error' THEN 3 ELSE 4 END AS schema_id,
+        CASE WHEN NOT bad THEN CAST(event_id AS VARCHAR) END AS event_id, CASE WHEN NOT bad THEN device_id END AS device_id, CASE WHEN NOT bad THEN et END AS event_time, CASE WHEN NOT bad THEN event_type END AS event_type,
+        CASE WHEN NOT bad AND kind IN ('click', 'view') THEN value END AS numeric_value, CASE WHEN NOT bad AND kind IN ('click', 'view') AND event_id % 2 = 0 THEN -40 - k END AS signal_strength_dbm,
+        CASE WHEN NOT bad AND kind = 'purchase' THEN CAST(2 * k - 90 AS DOUBLE) END AS latitude, CASE WHEN NOT bad AND kind = 'error' THEN CASE WHEN k >= 84 AND value / 10 > 6 THEN 'CRITICAL' WHEN k < 42 THEN 'WARNING' ELSE 'INFO' END END AS severity,
+        CASE WHEN NOT bad AND kind = 'signup' THEN CASE WHEN no_version THEN 0 ELSE CAST(version AS INT) END END AS metadata_version
+        FROM (SELECT *, malformed OR no_type OR no_detection AS bad FROM v)"""),
+}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from frostlake.functions.scalars import complete_minutes
+
 
 def top_exposure(hourly: DataFrame, most: int = 50) -> DataFrame:
     """Shipment hours with most breaches, newest first; a top-n without a full sort."""
@@ -14,9 +16,9 @@ def top_exposure(hourly: DataFrame, most: int = 50) -> DataFrame:
 
 def gps_gaps(enriched: DataFrame, minutes: int = 10) -> DataFrame:
     """Places that came more than so many complete minutes after the device's last one."""
-    last = F.lag("event_time").over(Window.partitionBy("device_id").orderBy("event_time", F.col("event_id").cast("bigint")))
+    last = F.lag("event_time").over(Window.partitionBy("device_id").orderBy("event_time", "event_id"))
     rows = enriched.where(F.col("event_type") == "LOCATION").select("shipment_id", "device_id", "event_id", "event_time", "latitude", "longitude", last.alias("previous_event_time"))
-    rows = rows.withColumn("gap_minutes", F.expr("(event_time - previous_event_time) div 60000"))
+    rows = rows.withColumn("gap_minutes", complete_minutes("previous_event_time", "event_time"))
     return rows.where(F.col("gap_minutes") > minutes).select("shipment_id", "device_id", "previous_event_time", "event_time", "gap_minutes", "latitude", "longitude").orderBy(F.col("gap_minutes").desc(), "device_id", "event_time")
 
 

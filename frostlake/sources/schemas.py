@@ -61,7 +61,9 @@ TABLES = {
         Table(
             "silver.device_metadata_history",
             _struct("event_id string, device_id string, metadata_version int, effective_from timestamp, shipment_id string, vehicle_id string, origin string, destination string, cargo_type string, min_temperature_c double, max_temperature_c double, status string, " + _SOURCE + ", ingested_at timestamp"),
-            key=("device_id", "metadata_version"),
+            # An upsert rewrites the buckets of its devices, not the history.
+            ("pmod(hash(device_id), 16)",),
+            ("device_id", "metadata_version"),
         ),
         Table(
             "silver.enriched_events",

@@ -1,19 +1,34 @@
-"""A folder of a query's own where all executors can write and read."""
+"""Folders and tables of a query's own where all executors can write and read."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir. Only where that is unset and one machine runs everything, as in tests, a
+    temporary folder takes its place; on a cluster executors would not see each other's."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return at or "file://" + tempfile.gettempdir()
 
 
 def scratch(spark: SparkSession) -> str:
-    """Below the session's spark.checkpoint.dir; only where that is unset, as in tests, a temporary folder. It goes
-    when the session ends."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.gettempdir()
-    path = f"{at}/frostlake-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
+    """A new folder there, which goes when the session ends."""
+    path = f"{shared_folder(spark)}/frostlake-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, written as a table in the shared folder and read again, so that many branches can start from it without its
+    being worked out for each, and lost executors cost nothing of it."""
+    path = scratch(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

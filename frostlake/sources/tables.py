@@ -2,18 +2,27 @@
 
 A version is a JSON file in _log that lists the data files by partition, so that no reader sees half a write and no
 commit rewrites files that a reader may hold. Upserts rewrite only the partitions that the new rows touch. A
-commit may carry a (writer, batch) mark: a batch that is replayed changes nothing.
+commit may carry a (writer, batch) mark: a batch that is replayed changes nothing. Of several writers that commit
+at once one wins a version, by a rename that fails where the file is there; the others start again from it.
 
-The log goes through Hadoop's FileSystem, so any store that Spark reads will do; one writer at a time per table.
+Files are written below _tmp and get to data by one rename. Those of a marked append get to data/writer/batch, which
+so holds whole batches only and each once: a stream may read it. What upserts and compaction write goes elsewhere.
+
+The log goes through Hadoop's file systems, so any store that Spark reads will do.
 """
 
 from __future__ import annotations
 
 import json
+import threading
 import time
 import uuid
+from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass
+from urllib.parse import unquote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_json_string
@@ -23,6 +32,19 @@ from frostlake.sources.schemas import TABLES, Table
 WEEK_MS = 7 * 24 * 3600 * 1000
 #: Files under this size are put together by optimize.
 SMALL_BYTES = 128 << 20
+#: Attempts of a commit that other writers keep getting ahead of.
+ATTEMPTS = 20
+#: Local file systems look before they rename, in two steps; writers of one process take turns at it.
+_turns: dict[str, threading.Lock] = defaultdict(threading.Lock)
+
+
+class Conflict(Exception):
+    """Another writer has made the version."""
+
+
+def _below(place: str, path: str) -> str:
+    """What follows place in a path, whether or not it is escaped as part of an address."""
+    return unquote(unquote(path.rsplit(place + "/", 1)[1]))
 
 
 class Store:
@@ -32,6 +54,7 @@ class Store:
         self.jvm = spark.sparkContext._jvm
         self.root = root.rstrip("/")
         self.fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.no_options = spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0)
 
     def _path(self, path: str):
         return self.jvm.org.apache.hadoop.fs.Path(path)
@@ -62,12 +85,36 @@ class Store:
             stream.close()
 
     def write_once(self, path: str, text: str) -> None:
-        """Fails if the file is there: of two commits of one version one is refused."""
-        stream = self.fs.create(self._path(f"{self.root}/{path}"), False)
+        """A whole file at once; Conflict if it is there: of two commits of one version one is refused."""
+        temporary = f"_tmp/{uuid.uuid4().hex}"
+        stream = self.fs.create(self._path(f"{self.root}/{temporary}"), False)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
+        self.fs.mkdirs(self._path(f"{self.root}/{path}").getParent())
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.fs.getConf())
+        with _turns[self.root]:
+            try:
+                context.rename(self._path(f"{self.root}/{temporary}"), self._path(f"{self.root}/{path}"), self.no_options)
+            except Py4JJavaError as e:
+                self.delete(temporary)
+                if "FileAlreadyExists" in str(e.java_exception.getClass().getName()):
+                    raise Conflict(path) from e
+                raise
+
+    def publish(self, folder: str, place: str) -> None:
+        """Moves a folder to where its files count, unless that has been done."""
+        with _turns[self.root]:
+            if self.exists(place):
+                self.delete(folder)
+                return
+            self.fs.mkdirs(self._path(f"{self.root}/{place}").getParent())
+            self.fs.rename(self._path(f"{self.root}/{folder}"), self._path(f"{self.root}/{place}"))
+
+    def make(self, path: str) -> str:
+        self.fs.mkdirs(self._path(f"{self.root}/{path}"))
+        return f"{self.root}/{path}"
 
     def delete(self, path: str) -> None:
         self.fs.delete(self._path(f"{self.root}/{path}"), True)
@@ -121,10 +168,22 @@ class LakeTable:
         self.store.write_once(f"_log/{new.version:020d}.json", json.dumps(new.__dict__))
         return new
 
+    def _until_done(self, attempt: Callable[[Snapshot], Snapshot]) -> Snapshot:
+        """attempt on the newest version, again from the one that another writer has made meanwhile."""
+        for _ in range(ATTEMPTS):
+            try:
+                return attempt(self.create().snapshot())
+            except Conflict:
+                continue
+        raise Conflict(f"{self.table.name}: other writers were ahead {ATTEMPTS} times")
+
     def create(self) -> LakeTable:
         """Makes the table if it isn't there."""
         if self.snapshot() is None:
-            self._commit("create", [], {}, None)
+            try:
+                self._commit("create", [], {}, None)
+            except Conflict:
+                pass  # it is there now
         return self
 
     def schema(self, version: int | None = None) -> StructType:
@@ -163,23 +222,27 @@ class LakeTable:
 
     # Writing ------------------------------------------------------------------------------------------------------
 
-    def _write(self, rows: DataFrame, schema: StructType, partition: tuple[str, ...]) -> list[dict]:
-        """New data files of rows, which no version lists yet. Partition columns stay in the files."""
-        place = f"data/{uuid.uuid4().hex}"
-        shaped = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
-        keys = {f"_p{i}": F.expr(p) for i, p in enumerate(partition)}
-        dealt = shaped.withColumns(keys).repartition(*keys) if keys else shaped
-        dealt.write.option("compression", "zstd").partitionBy(*keys).parquet(f"{self.root}/{place}")
+    def _write(self, rows: DataFrame, schema: StructType, partition: tuple[str, ...], place: str | None = None) -> list[dict]:
+        """New data files of rows, which no version lists yet. Partition columns stay in the files. Rows are dealt by
+        partition; Spark splits a partition that is too large for a task over several, and puts small ones together."""
+        place = place or f"data/rows/{uuid.uuid4().hex}"
+        if not self.store.exists(place):
+            shaped = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+            keys = {f"_p{i}": F.expr(p) for i, p in enumerate(partition)}
+            dealt = shaped.withColumns(keys).hint("rebalance", *[F.col(k) for k in keys]) if keys else shaped
+            temporary = f"_tmp/{uuid.uuid4().hex}"
+            dealt.write.option("compression", "zstd").partitionBy(*keys).parquet(f"{self.root}/{temporary}")
+            self.store.publish(temporary, place)
         found = self.store.files(place)
         counts: dict[str, int] = {}
         if found:
             path = F.col("_metadata.file_path")
-            counted = self.spark.read.schema(schema).parquet(f"{self.root}/{place}").groupBy(path.alias("p")).count().collect()  # a row for each new file
-            counts = {r.p.rsplit("/", 1)[-1]: r["count"] for r in counted}
+            counted = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.root}/{place}").groupBy(path.alias("p")).count().collect()  # a row for each new file
+            counts = {_below(place, r.p): r["count"] for r in counted}
         out = []
         for name, size, _ in found:
-            own = dict(part.split("=", 1) for part in name.split("/")[2:-1])
-            out.append({"path": name, "bytes": size, "rows": counts.get(name.rsplit("/", 1)[-1], 0), "values": {partition[int(k[2:])]: v for k, v in own.items()}})
+            own = dict(part.split("=", 1) for part in name.removeprefix(place + "/").split("/")[:-1])
+            out.append({"path": name, "bytes": size, "rows": counts.get(_below(place, name), 0), "values": {partition[int(k[2:])]: unquote(v) for k, v in own.items()}})
         return out
 
     def _done(self, before: Snapshot | None, mark: tuple[str, int] | None) -> bool:
@@ -189,15 +252,23 @@ class LakeTable:
         before = self.create().snapshot()
         if self._done(before, mark):
             return before
-        new = self._write(rows, self.schema(), before.partition)
-        return self._commit("append", [*before.files, *new], {"added_rows": sum(f["rows"] for f in new)}, before, mark=mark)
+        new = self._write(rows, self.schema(), before.partition, f"data/{mark[0]}/{mark[1]:020d}" if mark else None)
+
+        def attempt(now: Snapshot) -> Snapshot:
+            return now if self._done(now, mark) else self._commit("append", [*now.files, *new], {"added_rows": sum(f["rows"] for f in new)}, now, mark=mark)
+
+        return self._until_done(attempt)
+
+    def tail(self, writer: str) -> str:
+        """The folder that a writer's appends get to, a whole batch at once."""
+        return self.store.make(f"data/{writer}")
 
     def upsert(self, rows: DataFrame, order: list | None = None, mark: tuple[str, int] | None = None) -> Snapshot:
         """Rows by key: new ones replace old ones; of several new ones the last by order. Only the files of touched
         partitions are read and replaced."""
-        before = self.create().snapshot()
-        if self._done(before, mark):
-            return before
+        return self._until_done(lambda before: before if self._done(before, mark) else self._upsert(before, rows, order, mark))
+
+    def _upsert(self, before: Snapshot, rows: DataFrame, order: list | None, mark: tuple[str, int] | None) -> Snapshot:
         schema, key = self.schema(), list(self.table.key)
         by = [F.col(c).desc() if isinstance(c, str) else c for c in order or key]
         latest = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*by))).where("_n = 1").drop("_n").persist()
@@ -221,7 +292,9 @@ class LakeTable:
 
     def optimize(self, small: int = SMALL_BYTES) -> Snapshot:
         """Small files of each partition put together; the rows stay the same."""
-        before = self.create().snapshot()
+        return self._until_done(lambda before: self._optimized(before, small))
+
+    def _optimized(self, before: Snapshot, small: int) -> Snapshot:
         by: dict[str, list[dict]] = {}
         for f in before.files:
             if f["bytes"] < small:
@@ -245,24 +318,24 @@ class LakeTable:
         """Data files of no version, and unchanged for that long, are deleted."""
         limit = (now_ms or int(time.time() * 1000)) - older_than_ms
         held = {f["path"] for v in self.versions() for f in self.snapshot(v).files}
-        gone = [name for name, _, changed in self.store.files("data") if name not in held and changed < limit]
+        gone = [name for folder in ("data", "_tmp") for name, _, changed in self.store.files(folder) if name not in held and changed < limit]
         for name in gone:
             self.store.delete(name)
         return gone
 
     def add_column(self, name: str, kind: str) -> Snapshot:
         """Old rows read as null in it."""
-        before = self.create().snapshot()
-        schema = self.schema()
-        if name in schema.names:
-            return before
         field = StructField(name, self.spark.createDataFrame([], f"x {kind}").schema[0].dataType)
-        return self._commit("add column", list(before.files), {"column": name}, before, schema=StructType([*schema.fields, field]))
+
+        def attempt(before: Snapshot) -> Snapshot:
+            schema = _parse_datatype_json_string(before.schema)
+            return before if name in schema.names else self._commit("add column", list(before.files), {"column": name}, before, schema=StructType([*schema.fields, field]))
+
+        return self._until_done(attempt)
 
     def set_partitioning(self, *expressions: str) -> Snapshot:
         """New files go by these expressions; old ones stay as they are. bucket(n, column) is pmod(hash(column), n)."""
-        before = self.create().snapshot()
-        return self._commit("set partitioning", list(before.files), {"partition": ", ".join(expressions)}, before, partition=tuple(expressions))
+        return self._until_done(lambda before: self._commit("set partitioning", list(before.files), {"partition": ", ".join(expressions)}, before, partition=tuple(expressions)))
 
 
 class Lake:

@@ -99,6 +99,22 @@ def test_as_of_is_the_linear_scan(spark, versions, times):
     assert [r.metadata_version for r in got] == best
 
 
+def test_as_of_over_many_slots(spark):
+    day = enrich.SLOT_MS
+    held = {1: 5, 2: 3 * day, 3: 3 * day + 7, 4: 4 * day, 5: 9 * day}
+    times = [1, 5, day, 2 * day + 1, 3 * day - 1, 3 * day, 3 * day + 6, 3 * day + 7, 4 * day - 1, 4 * day, 4 * day + 1, 8 * day, 9 * day, 400 * day]
+    rows = events(spark, [{"event_time": t, "event_type": "LOCATION"} for t in times]).drop("breach", "shipment_id")
+    known = metadata(spark, [("d", v, e, 0.0, 1.0) for v, e in held.items()])
+    got = enrich.as_of(rows, known).orderBy("arrival").collect()
+    assert [r.metadata_version for r in got] == [max((v for v, e in held.items() if e <= t), default=None) for t in times]
+    assert enrich.slotted(known, rows).count() <= len(held) + len({t // day for t in times})
+
+
+def test_place_gaps_of_any_identifier(spark):
+    rows = events(spark, [{"event_id": i, "event_time": t, "event_type": "LOCATION", "latitude": 1.0, "longitude": 2.0} for i, t in (("evt-42-1", 0), ("b8a7-x", 660_000), ("c", 1_319_999))])
+    assert [(r.previous_event_time, r.gap_minutes) for r in reports.gps_gaps(rows).collect()] == [(0, 11)]
+
+
 def test_hourly(spark):
     rows = [{"event_type": "TELEMETRY_TEMPERATURE", "event_time": 1000, "numeric_value": 4.0}, {"event_type": "TELEMETRY_TEMPERATURE", "event_time": 2000, "numeric_value": 10.0, "breach": True}, {"event_type": "TELEMETRY_HUMIDITY", "event_time": 3000, "numeric_value": 60.0}, {"event_type": "LOCATION", "event_time": 4000, "latitude": 52.5, "longitude": 13.4}, {"event_type": "LOCATION", "event_time": 4000, "latitude": 53.0, "longitude": 14.0}, {"event_type": "DETECTION", "event_time": 3_600_000}]
     one, two = hourly.hourly_metrics(events(spark, rows)).orderBy("window_start").collect()
@@ -114,6 +130,9 @@ def test_watermark_and_late_boundary(spark):
     assert [r.watermark_ms for r in got] == [None, -60_001, 1_939_999, 1_939_999]
     spread = rows.withColumns({"arrival": F.col("arrival") * 5_000_000, "kafka_timestamp": F.timestamp_millis("k")})
     assert [r.watermark_ms for r in lateness.with_watermark(spread).orderBy("arrival").collect()] == [None, -60_001, 1_939_999, 1_939_999]
+    none = rows.withColumns({"arrival": F.when(F.col("k") != 1_000_000, F.col("arrival") * 5_000_000), "kafka_timestamp": F.timestamp_millis("k")})
+    kept = lateness.with_watermark(none).orderBy("source_offset").collect()
+    assert [r.watermark_ms for r in kept] == [939_999, 939_999, None, 1_939_999]  # the row without arrival is the first
     edge = spark.createDataFrame([(700_000, 1_000_000), (699_999, 1_000_000), (0, None)], "event_time bigint, watermark_ms bigint")
     assert [r[0] for r in edge.select(lateness.is_late()).collect()] == [False, True, False]
 
@@ -133,7 +152,7 @@ def test_contracts():
     assert all(s.names[:5] == common for s in PAYLOADS.values()) and PAYLOADS["telemetry"]["signal_strength_dbm"].nullable
 
 
-QUICK = ["schema_id_framing", "rejected_union", "hourly_metrics", "gps_gaps", "rejection_rate", "current_device_state"]
+QUICK = ["schema_id_framing", "reject_reasons", "rejected_union", "hourly_metrics", "gps_gaps", "rejection_rate", "current_device_state", "reconcile_checks", "reconcile_losses", "decode_avro", "sql_gps_gaps", "table_partitions", "snapshot_expiry"]
 
 
 @pytest.mark.parametrize("name", QUICK)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from frostlake.sources.shared import scratch
+
 #: Fixed value: the characters that separate words, as a regular expression.
 BLANKS = "[\\x20\\x09-\\x0D]+"
 
@@ -20,26 +19,27 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see. It is the session's spark.checkpoint.dir; only where that
-    is unset (tests on one machine) a temporary folder takes its place."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="frostlake-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at
+def parts_for(df: DataFrame, each: int = 64 << 20, most: int = 100_000) -> int:
+    """Parts of a shuffle of df: the session's number, and more where Spark's estimate of its stored size asks for it."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(shuffle_partitions(df.sparkSession), min(most, size // each) if size < 1 << 60 else 1)
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """df, written as a table in the shared folder and read again: lineage is cut, lost executors
-    cost nothing that was finished, and the files go when the session ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/frostlake-{uuid.uuid4().hex}"
+    cost nothing that was finished, and the files go when the session ends, or with discard."""
+    path = scratch(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    got = df.sparkSession.read.schema(df.schema).parquet(path)
+    got.__dict__["_frostlake_at"] = path
+    return got
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that materialise has made, which nothing will read any more."""
+    spark = df.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.__dict__["_frostlake_at"])
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def text_of(column: str | Column = "text") -> Column:

@@ -110,13 +110,18 @@ class Encoder(dict):
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, stretch: bytes) -> bytes:
+        if stretch.isascii() and not stretch.islower():
+            # The tokenizer ignores case; other letters go to it as they are, for accents may join them before it looks.
+            low = stretch.lower()
+            if low != stretch:
+                return self._kept(stretch, self[low])
         if stretch.isalpha():  # lower-case letters of ASCII stand for themselves
             return self._kept(stretch, self._ids([t.id for t in self.tokenizer.model.tokenize(stretch.decode())]))
         if len(stretch) > 1 and stretch[-1] in b".,|!" and stretch[-2:-1].isalnum():
             return self[stretch[:-1]] + self[stretch[-1:]]
         word = stretch.decode()
         low = word.lower()
-        if low.isalpha() and len(low) == len(word) and max(low) < "ɐ" and unicodedata.is_normalized("NFC", low):
+        if word.isalpha() and len(low) == len(word) and max(low) < "ɐ" and unicodedata.is_normalized("NFC", word):
             out = self._ids([t.id for t in self.tokenizer.model.tokenize("".join([self.stand_in[b] for b in low.encode()]))])
         else:
             out = self._ids(self.tokenizer.encode(word, add_special_tokens=False).ids)
@@ -130,10 +135,11 @@ class Encoder(dict):
         return out
 
     def encode(self, text: str) -> bytes:
-        raw = text.encode().lower()
-        if any(x in raw for x in self.special):
+        raw = text.encode()
+        low = raw.lower()
+        if any(x in low for x in self.special):
             return self._ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        return b"".join([self[x] for x in raw.split()])
+        return b"".join([self[x] for x in (low if raw.isascii() else raw).split()])
 
 
 _encoders: dict[str, Encoder] = {}

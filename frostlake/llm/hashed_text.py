@@ -10,10 +10,7 @@ import pyarrow as pa
 
 from frostlake.llm import textvec
 
-#: Lengths, in bytes, of the beginnings of words that are features of their own: what a language derives from one stem
-#: shares them.
-STEMS = (5, 6, 7, 8)
-#: Lengths, in bytes, of their ends.
+#: Lengths, in bytes, of the ends of words.
 ENDS = (1, 2, 3)
 
 
@@ -27,7 +24,7 @@ class Rows:
     words: np.ndarray  # of each row
 
 
-def _features(w: textvec.Words, skips: bool, stems: bool, ends: bool) -> tuple[np.ndarray, np.ndarray]:
+def _features(w: textvec.Words, skips: bool, ends: bool) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of features, and the text of each."""
     doc = w.doc()
     hashes = w.hashes()
@@ -36,12 +33,6 @@ def _features(w: textvec.Words, skips: bool, stems: bool, ends: bool) -> tuple[n
         got, at = textvec.grams(hashes, w.first, offsets)
         values.append(got)
         owners.append(doc[at])
-    if stems:
-        length = w.ends - w.starts
-        for n in STEMS:
-            at = np.flatnonzero(length >= n)
-            values.append(textvec.mix(w.hashes(w.starts[at], w.starts[at] + n) + np.uint64(n)))
-            owners.append(doc[at])
     if ends:
         length = w.ends - w.starts
         for n in ENDS:
@@ -54,11 +45,12 @@ def _features(w: textvec.Words, skips: bool, stems: bool, ends: bool) -> tuple[n
     return np.concatenate(values), np.concatenate(owners)
 
 
-def rows(texts: pa.Array, bits: int, skips: bool = True, stems: bool = True, ends: bool = False, lower: bool = True) -> Iterator[tuple[int, Rows]]:
-    """(row, Rows) for chunks of the texts."""
+def rows(texts: pa.Array, bits: int, skips: bool = True, ends: bool = False, lower: bool = True, letters: bool = True) -> Iterator[tuple[int, Rows]]:
+    """(row, Rows) for chunks of the texts: words and neighbouring pairs, with skips also pairs that skip one or two words,
+    with ends also the ends of words. letters: words are runs of letters and digits, without the marks around them."""
     for base, part in textvec.chunks(texts):
-        w = textvec.words(part, lower=lower)
-        values, owners = _features(w, skips, stems, ends)
+        w = textvec.words(part, lower, textvec.LETTERS if letters else textvec._WORD)
+        values, owners = _features(w, skips, ends)
         keys = (owners.astype(np.uint64) << np.uint64(32)) | (values >> np.uint64(64 - bits))
         keys.sort()
         new = np.ones(len(keys), bool)

@@ -7,7 +7,8 @@ a better one come from it; selection goes by the latter. Features are words, nei
 most SAMPLE rated rows, those whose identifiers have the smallest hashes.
 
 Defined cases: null and empty texts have no features and get the thresholds' own probabilities; grades are
-whole numbers from 0, missing ones in between are learnt as improbable; with no ratings, or one grade
+whole numbers, of any sign and size, whose order counts: those that occur are the levels, at most LEVELS of
+them, beyond which neighbouring ones are put together under the lower one; with no ratings, or one grade
 only, every text is expected to have that grade (0 without any); repeated identifiers are scored in each of
 their rows; an empty table gives no rows; further columns are carried along, whatever their names.
 """
@@ -31,7 +32,9 @@ SAMPLE = 8000
 EPOCHS = 3
 RATE = 0.05
 DECAY = 1e-6
-KINDS = {"skips": False, "stems": False, "ends": True, "lower": False}
+KINDS = {"skips": False, "ends": True, "lower": False, "letters": False}
+#: Grades that are told apart at most.
+LEVELS = 64
 
 
 def _logistic(x: np.ndarray | float) -> np.ndarray | float:
@@ -39,9 +42,12 @@ def _logistic(x: np.ndarray | float) -> np.ndarray | float:
 
 
 def train(texts: pa.Array, labels: pa.Array) -> bytes:
-    """The number of grades, the thresholds and the weights."""
-    grade = labels.to_numpy(zero_copy_only=False)
-    grades = int(grade.max()) + 1 if len(grade) else 1
+    """The levels, the thresholds between them and the weights."""
+    rated = labels.to_numpy(zero_copy_only=False).astype(np.int64)
+    levels = np.unique(rated) if len(rated) else np.zeros(1, np.int64)
+    if len(levels) > LEVELS:
+        levels = levels[np.arange(LEVELS) * len(levels) // LEVELS]
+    grade, grades = np.searchsorted(levels, rated, "right") - 1, len(levels)
     weights, seen = np.zeros(1 << BITS), np.full(1 << BITS, 1e-8)
     if grades > 1:
         share = np.clip(np.cumsum(np.bincount(grade, minlength=grades))[:-1] / len(grade), 0.01, 0.99)
@@ -71,19 +77,19 @@ def train(texts: pa.Array, labels: pa.Array) -> bytes:
     else:
         cuts = np.zeros(0)
     keep = np.flatnonzero(weights)
-    return struct.pack("<ii", grades, len(keep)) + cuts.astype("<f8").tobytes() + keep.astype("<i4").tobytes() + weights[keep].astype("<f4").tobytes()
+    return struct.pack("<ii", grades, len(keep)) + levels.astype("<i8").tobytes() + cuts.astype("<f8").tobytes() + keep.astype("<i4").tobytes() + weights[keep].astype("<f4").tobytes()
 
 
 def fitted(df: DataFrame, ratings: DataFrame, rating: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE) -> bytes:
     return fit(labelled_sample(df, ratings, rating, most, id_col, text_col), train)
 
 
-def _loaded(model: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _loaded(model: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     grades, n = struct.unpack_from("<ii", model)
-    at = 8 + 8 * (grades - 1)
+    at = 8 + 8 * grades + 8 * (grades - 1)
     weights = np.zeros(1 << BITS)
     weights[np.frombuffer(model, "<i4", n, at)] = np.frombuffer(model, "<f4", n, at + 4 * n)
-    return np.frombuffer(model, "<f8", grades - 1, 8), weights
+    return np.frombuffer(model, "<i8", grades, 8), np.frombuffer(model, "<f8", grades - 1, 8 + 8 * grades), weights
 
 
 def grade(df: DataFrame, model: bytes, wanted: int = 1, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -92,12 +98,13 @@ def grade(df: DataFrame, model: bytes, wanted: int = 1, text_col: str = "text",
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts, weights = _loaded(held.value)
+        levels, cuts, weights = _loaded(held.value)
+        first = int(np.searchsorted(levels, wanted))  # the lowest level that will do
         for batch in batches:
             own = hashed_text.linear(batch.column("text"), weights, BITS, **KINDS)
             over = 1.0 - _logistic(cuts[None, :] - own[:, None])  # of each grade but the lowest
-            tail = over[:, wanted - 1] if 0 < wanted <= len(cuts) else np.full(len(own), float(wanted <= 0))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(over.sum(axis=1)), pa.array(tail)], names=["row", "expected_grade", "tail_probability"])
+            tail = over[:, first - 1] if 0 < first <= len(cuts) else np.full(len(own), float(first == 0))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(levels[0] + over @ np.diff(levels).astype(float)), pa.array(tail)], names=["row", "expected_grade", "tail_probability"])
 
     got = df.select(F.struct(*[F.col(f"`{c}`") for c in carry or df.columns]).alias("row"), text_of(text_col).alias("text"))
     schema = got.select("row").schema.add("expected_grade", "double").add("tail_probability", "double")

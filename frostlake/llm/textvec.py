@@ -1,7 +1,7 @@
 """Words of many texts at once, as numpy arrays: boundaries and 64-bit hashes without a Python step per word.
 
 A word is a run of bytes other than 0x20 and 0x09-0x0D, which no UTF-8 sequence contains inside a
-character. A word's hash depends on its bytes only, never on where it stands.
+character, or of other bytes that the caller names. A word's hash depends on its bytes only, never on where it stands.
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ CHUNK_BYTES = 2 << 20
 
 _WORD = np.ones(256, bool)
 _WORD[[9, 10, 11, 12, 13, 32]] = False
+#: Bytes of letters, digits and everything beyond ASCII, for words without the marks around them.
+LETTERS = np.zeros(256, bool)
+LETTERS[48:58] = LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
@@ -81,12 +84,13 @@ def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def words(texts: pa.Array, lower: bool = False) -> Words:
+def words(texts: pa.Array, lower: bool = False, inside: np.ndarray = _WORD) -> Words:
+    """inside tells which bytes make a word."""
     data, offsets = raw_bytes(texts)
     if lower:
         data = _LOWER[data]
     n = len(data)
-    word = _WORD[data]
+    word = inside[data]
     opens, closes = word.copy(), word.copy()
     opens[1:] &= ~word[:-1]
     closes[:-1] &= ~word[1:]

@@ -13,13 +13,14 @@ from frostlake.llm.common import text_of
 
 def labelled_sample(df: DataFrame, labels: DataFrame, label: str, most: int, id_col: str, text_col: str, learn: Column | None = None) -> DataFrame:
     """(key, label, text) of at most so many labelled rows: those whose identifiers have the smallest hashes.
-    Null labels and identifiers are none; of several labels of one identifier the largest counts."""
+    Null labels and identifiers are none; of several labels of one identifier the largest counts, and of its rows the
+    one with the first text in order, which each task finds among its own before they meet."""
     wanted = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("label")).where("id is not null and label is not null")
     if learn is not None:
         wanted = wanted.where(learn)
     wanted = wanted.groupBy("id").agg(F.max("label").alias("label")).select("id", "label", F.xxhash64(F.col("id"), F.lit(11)).alias("key")).orderBy("key", "id").limit(most)
     rows = df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    return rows.join(F.broadcast(wanted), "id").select("key", "label", "text")
+    return rows.join(F.broadcast(wanted), "id").groupBy("id", "key", "label").agg(F.min("text").alias("text")).select("key", "label", "text")
 
 
 def fit(sample: DataFrame, train: Callable[[pa.Array, pa.Array], bytes]) -> bytes:

@@ -3,10 +3,12 @@
 A classifier fitted on a labelled table gives every document a posterior over domains (multinomial naive Bayes on
 hashed words, its evidence tempered so that long texts stay soft). Documents then get nonnegative rates
 by bounded least squares: the expected tokens of each domain, rate times tokens times posterior summed over
-all documents, are to equal its target, errors weighted by the inverse of the targets. Steps are Newton's, on the
-dual, and end when the projected gradient is small in all domains, also where some target is out of reach. Each
-step sends a few numbers per domain to the driver; a document's rate follows from these and its own
-posterior alone, so no rate is shuffled. Everything is DataFrame expressions.
+all documents, are to equal its target, squared errors weighted by the inverse of the targets. All rates go along
+the gradient at once and are put back between their bounds; a document's step has the length that the totals of its
+domains allow (the sums of the Hessian's rows bound it), and a momentum that starts anew when it points uphill; steps
+end when the projected gradient over all documents is small, also where some target is out of reach. A step sends a few numbers per domain to
+the driver; a document's rate follows from these, its last two rates and its own posterior, so
+no rate is shuffled. Everything is DataFrame expressions.
 
 Defined cases: a null text is an empty text; a text without words has the prior as posterior and no
 tokens; rows that share an identifier are one document here and share a rate, null identifiers too;
@@ -23,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frostlake.llm.common import BLANKS, materialise, text_of
+from frostlake.llm.common import BLANKS, discard, materialise, text_of
 
 #: Columns that words are hashed to.
 DIMENSIONS = 8192
@@ -32,13 +34,11 @@ SAMPLE = 8000
 #: A text's evidence counts as that of so many words at most.
 EVIDENCE = 40
 SMOOTHING = 0.5
-#: Pull of every rate towards 1, which makes the solution unique.
-PULL = 1e-5
-STEPS = 100
-#: Of the projected gradient, in shares of a domain's target.
-TOLERANCE = 1e-4
-#: Step lengths that are tried at once.
-LENGTHS = tuple(2.0**-k for k in range(24))
+STEPS = 300
+#: Of the projected gradient: the root of its squares' mean over all tokens, in shares of a domain's target.
+TOLERANCE = 2e-4
+#: Steps after which the rates are written, so that plans stay short.
+WRITTEN = 8
 
 
 @dataclass(frozen=True)
@@ -90,46 +90,46 @@ def posteriors(df: DataFrame, model: Classifier, id_col: str = "doc_id", text_co
 
 def rates(known: DataFrame, targets: list[float], budget: float = 1.0, most: float | None = None, steps: int = STEPS) -> DataFrame:
     """(id, tokens, p0, ..., rate): nonnegative rates, at most most, whose expected domain tokens match targets times
-    budget times all tokens. targets are shares in the order of the domains."""
-    known = materialise(known)
+    budget times all tokens. targets are shares in the order of the domains. Rates begin at 1; a warning tells of
+    targets for which the steps do not suffice."""
     n = len(targets)
     p = [F.col(f"p{i}") for i in range(n)]
     goal = np.array(targets) / sum(targets) * budget
     scale = goal.clip(1e-4)
-    # The objective is sum((expected - goal) ** 2 / scale) / 2 + PULL / 2 * sum(share of tokens * (rate - 1) ** 2). At its minimum
-    # a rate is 1 - posterior . y / PULL, put between the bounds, with y = (expected - goal) / scale: a number per domain.
-    dot = lambda x: sum((p[i] * float(x[i]) for i in range(n)), F.lit(0.0))
-    raw = lambda y: 1 - dot(y / PULL)
     bounded = lambda x: F.greatest(F.lit(0.0), x) if most is None else F.least(F.lit(float(most)), F.greatest(F.lit(0.0), x))
-    y = np.zeros(n)
-    for _ in range(steps):
-        # Expected tokens, and how they answer to the documents that are free to move, come to the driver.
-        now = known.select("tokens", *p, raw(y).alias("raw"))
-        free = (F.col("raw") > 0) & (F.lit(True) if most is None else F.col("raw") <= most)
-        expected = [F.sum(F.col("tokens") * bounded(F.col("raw")) * p[i]).alias(f"e{i}") for i in range(n)]
-        moving = [F.sum(F.when(free, F.col("tokens") * p[i] * p[j])).alias(f"m{i}_{j}") for i in range(n) for j in range(i, n)]
-        got = now.agg(F.sum("tokens").alias("tokens"), *expected, *moving).first()
-        tokens = float(got.tokens or 0)
-        if not tokens:
-            break
-        slope = np.array([got[f"e{i}"] for i in range(n)]) / tokens - goal - scale * y
-        # No rate's projected gradient is larger than this, whichever domains can be met.
-        if np.abs(slope / scale).max() < TOLERANCE:
-            break
-        answer = np.array([[got[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(n)] for i in range(n)]) / tokens / PULL
-        move = np.linalg.solve(answer + np.diag(scale), slope)
-        # The dual is concave along the move: the longest of these steps at which it still rises, then between that and the next.
-        now = known.select("tokens", raw(y).alias("raw"), dot(move).alias("move"))
-        gains = now.agg(*[F.sum(F.col("tokens") * F.col("move") * bounded(F.col("raw") - F.col("move") * (x / PULL))).alias(f"g{i}") for i, x in enumerate(LENGTHS)]).first()
-        rises = [gains[i] / tokens - float((goal + scale * (y + x * move)) @ move) for i, x in enumerate(LENGTHS)]
-        at = next((i for i, x in enumerate(rises) if x >= 0), len(LENGTHS) - 1)
-        length = LENGTHS[at]
-        if at and rises[at] >= 0:
-            length += (LENGTHS[at - 1] - length) * rises[at] / (rises[at] - rises[at - 1])
-        y = y + length * move
-    else:
-        warnings.warn(f"mixing rates are not settled after {steps} steps", stacklevel=2)
-    return known.withColumn("rate", bounded(raw(y)))
+    dot = lambda x: sum((p[i] * float(x[i]) for i in range(n)), F.lit(0.0))
+    held = now = materialise(known.select("id", "tokens", *p, bounded(F.lit(1.0)).alias("rate"), bounded(F.lit(1.0)).alias("before")))
+    whole = now.agg(F.sum("tokens").alias("tokens"), *[F.sum(F.col("tokens") * F.col("rate") * p[i]).alias(f"e{i}") for i in range(n)], *[F.sum(F.col("tokens") * p[i]).alias(f"t{i}") for i in range(n)]).first()
+    tokens = float(whole.tokens or 0)
+    if tokens:
+        steep = F.greatest(F.lit(1e-9), dot(np.array([whole[f"t{i}"] for i in range(n)]) / tokens / scale))
+        expected = last = np.array([whole[f"e{i}"] for i in range(n)]) / tokens
+        momentum, k = 0.0, 1.0
+        for step in range(1, steps + 1):
+            # Ahead of the rate by the momentum, and from there down the gradient of that place.
+            slope = (expected + momentum * (expected - last) - goal) / scale
+            ahead = F.col("rate") * (1 + momentum) - F.col("before") * momentum
+            now = now.select("id", "tokens", *p, F.col("rate").alias("before"), ahead.alias("ahead"))
+            now = now.select("id", "tokens", *p, "before", "ahead", bounded(F.col("ahead") - dot(slope) / steep).alias("rate"))
+            back = (F.col("ahead") - F.col("rate")) * steep
+            got = now.agg(
+                *[F.sum(F.col("tokens") * F.col("rate") * p[i]).alias(f"e{i}") for i in range(n)],
+                F.sum(F.col("tokens") * back * back).alias("moved"), F.sum(F.col("tokens") * back * (F.col("rate") - F.col("before"))).alias("uphill"),
+            ).first()
+            now = now.drop("ahead")
+            last, expected = expected, np.array([got[f"e{i}"] for i in range(n)]) / tokens
+            if np.sqrt(got.moved / tokens) < TOLERANCE:
+                break
+            k = 1.0 if got.uphill > 0 else k
+            after = (1 + np.sqrt(1 + 4 * k * k)) / 2
+            momentum, k = (k - 1) / after, after
+            if step % WRITTEN == 0:
+                now = materialise(now)
+                discard(held)
+                held = now
+        else:
+            warnings.warn(f"mixing rates are not settled after {steps} steps", stacklevel=2)
+    return now.drop("before")
 
 
 def copies(rated: DataFrame) -> DataFrame:

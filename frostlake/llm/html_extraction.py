@@ -1,12 +1,13 @@
 """Main text of web pages: a linear-chain conditional random field over the pages' leaf blocks.
 
 Features of a block are the elements it stands in (tags, and words of their classes, ids and roles) and its text
-(length, links, punctuation, capitals, telling words). Neighbouring labels have weights of their own. The model is
-trained on labelled pages, by default those of `training_pages`, which vary how sites mark up the same
-parts; pages are decoded by Viterbi.
+(length, links, punctuation, capitals, telling words), all of it. Neighbouring labels have weights of their own: where
+the markup tells nothing, a short line belongs to what stands around it. The model is trained on labelled
+pages, by default those of `training_pages`, which vary how sites mark up the same parts, or leave them
+unmarked; pages are decoded by Viterbi.
 
 Defined cases: a null or empty page, and one without article, has an empty text; unclosed and stray tags are read
-as browsers do; white space inside a block (also what references decode to) becomes one space; repeated
+as browsers do, at any depth of nesting in time that grows with the page's length; white space inside a block (also what references decode to) becomes one space; repeated
 identifiers are rows of their own; an empty table gives no rows; further columns are left alone, whatever their
 names.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frostlake.llm.common import text_of
-from frostlake.llm.html_blocks import Block, blocks
+from frostlake.llm.html_blocks import Block, Element, blocks
 
 EPOCHS = 160
 RATE = 0.1
@@ -59,23 +60,42 @@ class Model:
     opening: np.ndarray
 
 
-@lru_cache(maxsize=50_000)
-def _path_features(path: tuple) -> tuple[str, ...]:
-    out = set()
-    for tag, marks in path:
-        out.add("in:" + tag)
-        out.update("mark:" + m for m in marks)
-    near = [g for tag, marks in path for g in [next((_GROUP[m] for m in marks if m in _GROUP and _GROUP[m] != "article"), None) or _GROUP.get(tag) or ("article" if any(m in _GROUP for m in marks) else None)] if g and tag != "body"]
-    out.update("group:" + g for g in near)
-    out.add("near:" + (near[-1] if near else "none"))
-    out.add("path:" + ">".join(near[-3:]))
-    if path:
-        last = path[-1]
-        out.add("at:" + last[0])
-        out.update("own:" + m for m in last[1])
-        outer = [t for t, _ in path if t in ("article", "main", "nav", "header", "footer", "aside", "form", "section", "div", "ul", "ol", "table")]
-        out.add("in2:" + ">".join(outer[-2:]))
-    return tuple(out)
+def _group(element: Element) -> str | None:
+    """The part of a page that the element's names, or its kind, tell of."""
+    if element.tag == "body":
+        return None
+    named = [_GROUP[m] for m in element.marks if m in _GROUP]
+    return next((g for g in named if g != "article"), None) or _GROUP.get(element.tag) or (named[0] if named else None)
+
+
+_OUTER = frozenset(("article", "main", "nav", "header", "footer", "aside", "form", "section", "div", "ul", "ol", "table"))
+_NOWHERE: tuple = (frozenset(), (), ())
+
+
+def _held(element: Element | None, known: dict[str, int] | None) -> tuple[frozenset, tuple, tuple]:
+    """What a block has of the elements around it: features of all of them, the last three parts and the last two outer
+    kinds. Worked out once an element from its parent's; features that the model does not know are
+    left out, so that sets stay small however deep a page is."""
+    chain = []
+    while element is not None and element.held is None:
+        chain.append(element)
+        element = element.parent
+    held = _NOWHERE if element is None else element.held
+    for e in reversed(chain):
+        found, near, outer = held
+        group = _group(e)
+        names = ["in:" + e.tag, *["mark:" + m for m in e.marks], *(["group:" + group] if group else [])]
+        new = [f for f in names if f not in found and (known is None or f in known)]
+        held = e.held = (found.union(new) if new else found, (*near, group)[-3:] if group else near, (*outer, e.tag)[-2:] if e.tag in _OUTER else outer)
+    return held
+
+
+def _path_features(element: Element | None, known: dict[str, int] | None) -> list[str]:
+    found, near, outer = _held(element, known)
+    out = [*found, "near:" + (near[-1] if near else "none"), "path:" + ">".join(near)]
+    if element is not None:
+        out += ["at:" + element.tag, "in2:" + ">".join(outer), *["own:" + m for m in element.marks]]
+    return out
 
 
 def _text_features(block: Block) -> list[str]:
@@ -87,20 +107,20 @@ def _text_features(block: Block) -> list[str]:
         out.append("ends")
     if text[0].isupper():
         out.append("capital")
-    if any(c.isdigit() for c in text[:40]):
-        out.append("digit")
-    found = len(_TELLING.findall(text[:400]))
+    digits = sum(map(text.count, "0123456789"))
+    if digits:
+        out.append("digits:%d" % min(3, 20 * digits // n))
+    found = len(_TELLING.findall(text))
     if found:
-        out.append("telling:%d" % min(3, found) + (":short" if words < 12 else ""))
+        # In a long text a few such words tell little.
+        out.append("telling:%d" % min(3, found) + ":short" if words < 12 else "telling:%d" % min(3, 60 * found // words))
     return out
 
 
-def features(page: list[Block]) -> list[list[str]]:
+def features(page: list[Block], known: dict[str, int] | None = None) -> list[list[str]]:
+    """Of every block; with known only features of elements that are in it."""
     n = len(page)
-    out = []
-    for i, b in enumerate(page):
-        out.append([*_path_features(b.path), *_text_features(b), "place:%d" % (3 * i // n)])
-    return out
+    return [[*_path_features(b.element, known), *_text_features(b), "place:%d" % (3 * i // n)] for i, b in enumerate(page)]
 
 
 def _indexed(rows: list[list[str]], index: dict[str, int]) -> list[list[int]]:
@@ -197,16 +217,17 @@ def decode(model: Model, rows: list[list[str]]) -> list[int]:
 
 def extract(page: str | None, model: Model) -> str:
     found = blocks(page or "")
-    return "\n".join(b.text for b, y in zip(found, decode(model, features(found)), strict=True) if y)
+    return "\n".join(b.text for b, y in zip(found, decode(model, features(found, model.index)), strict=True) if y)
 
 
 # Labelled pages ------------------------------------------------------------------------------------------------
 
 
-def training_pages(n: int = TRAINING_PAGES, seed: int = 5) -> Iterator[tuple[str, set[str]]]:
+def training_pages(n: int = TRAINING_PAGES, seed: int = 5, unmarked: float = 0.15) -> Iterator[tuple[str, set[str]]]:
     """(html, texts of the article's blocks) of invented pages: the same parts under the names, elements and orders
     that sites give them. Article and surroundings are made of the same words, so that only markup, place and
-    shape tell them apart."""
+    shape tell them apart. A share of the pages, unmarked, has nothing but equal elements without names: lines of
+    a menu, an article of long paragraphs with such lines in it, and lines of a footer."""
     r = random.Random(seed)
     syllables = "ka lo mi ter en ra sto vel du por an ish ge lu bra co nes ti mon ba re lis ou fa".split()
     vocabulary = ["".join(r.choices(syllables, k=r.choice((1, 1, 2, 2, 3)))) for _ in range(900)]
@@ -275,6 +296,16 @@ def training_pages(n: int = TRAINING_PAGES, seed: int = 5) -> Iterator[tuple[str
             content.add(" ".join(text.split()))
             return text
 
+        if r.random() < unmarked:
+            tag = r.choice(("div", "p", "td"))
+            line = lambda: words(1, 4).capitalize()
+            lines = [line() for _ in range(r.randint(0, 9))]
+            for _ in range(r.randint(2, 6)):
+                lines += [say(" ".join(sentence(6, 18) for _ in range(r.randint(3, 7)))), *[say(line()) for _ in range(r.choice((0, 0, 1, 2)))]]
+            lines.append(say(" ".join(sentence(6, 18) for _ in range(4))))
+            lines += [line() for _ in range(r.randint(0, 9))]
+            yield f"<html><head><title>{words(2, 6)}</title></head><body>{''.join(f'<{tag}>{x}</{tag}>' for x in lines)}</body></html>", content
+            continue
         body: list[str] = []
         if r.random() < 0.85:
             title = say(words(3, 9).capitalize())

@@ -9,7 +9,9 @@ from frostlake.llm.common import materialise
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of links (u long, v long), the root being the least node of its component.
+    """(node, root) for every node of links (u, v), the root being the least node of its component. Nodes are numbers, or
+    structs, which are in the order of their fields: with what is wanted of a component's best node in front, no
+    component need be gathered to find it.
 
     Rounds of large and small stars: each keeps the components and brings the links nearer to stars around the
     roots, in about the logarithm of the longest path. A link is (upper, lower). The large star moves a link's

@@ -139,9 +139,12 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """(id, fingerprint, component_id) for every row."""
     fps = materialise(fingerprints(df, id_col, text_col, shingle))
-    distinct = materialise(fps.groupBy("fp").agg(F.min("id").alias("low")))
-    roots = materialise(components(materialise(links(distinct, radius, tile))))
-    placed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = placed.groupBy("root").agg(F.min("low").alias("least"))
-    place = materialise(placed.join(lows, "root").select("fp", "least"))
-    return fps.join(place, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
+    # A node is (least identifier, fingerprint), so that a component's root has its least identifier; null is the largest.
+    none = F.lit((1 << 63) - 1)
+    distinct = materialise(fps.groupBy("fp").agg(F.coalesce(F.min("id"), none).alias("low")))
+    named = distinct.select(F.col("fp").alias("own"), F.struct("low", "fp").alias("node"))
+    found = materialise(links(distinct, radius, tile))
+    ends = found.join(named.withColumnsRenamed({"own": "u", "node": "x"}), "u").join(named.withColumnsRenamed({"own": "v", "node": "y"}), "v")
+    roots = materialise(components(materialise(ends.select(F.col("x").alias("u"), F.col("y").alias("v")))))
+    place = distinct.join(roots.select(F.col("node.fp").alias("fp"), F.col("root.low").alias("least")), "fp", "left").select("fp", F.coalesce("least", "low").alias("least"))
+    return fps.join(materialise(place), "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.nullif(F.col("least"), none).alias("component_id"))

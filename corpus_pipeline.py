@@ -33,11 +33,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that SimHash proposes and five-word shingles of similarity 0.8 or more link, one row: that with the
     smallest identifier, null counting as the largest, and of its rows one."""
-    numbered = materialise(docs.withColumn("__row", F.monotonically_increasing_id()))
-    members = near_copies.groups(numbered, "__row").join(numbered.select(F.col("__row").alias("row"), "doc_id"), "row")
-    least = members.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least"))
-    gone = materialise(members.join(least, "group").where("row <> least.row").select(F.col("row").alias("__row")))
-    return numbered.join(gone, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return near_copies.drop(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

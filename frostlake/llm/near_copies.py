@@ -1,14 +1,17 @@
-"""Groups of near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and what
-these link together.
+"""One row of each group of near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more,
+and what these link together.
 
 SimHash proposes pairs: fingerprints of 128 bits (the majority of the XXH3 hashes of a text's distinct shingles) within
 RADIUS bits. Similarity 0.8 takes sets whose sizes are within a quarter of each other, so that only tiles of such
 sizes meet, and are compared whole. A proposed pair counts if its sets, as 64-bit hashes, really are that similar.
-Equal sets are one from the start. The first rounds try for each text the nearest one of another group in every tile, the last one all
-pairs that these have not put in one group, so that a large group need not give all its pairs.
+Equal sets are one from the start. A round tries for each text the nearest one of another group; texts that have none
+within the radius never will have, and leave. When a round links few, one last round tries all pairs that are
+still in different groups. So a large group gives a few pairs for each of its texts, and no pair is left out.
 
 Defined cases: a null text is an empty text; texts without words are copies of each other; fewer words than a
-shingle make one shingle; an empty table gives no rows.
+shingle make one shingle; of a group the row with the smallest identifier stays, null counting as the largest, and
+of its rows the one that the table has first; an empty table gives no rows; further columns are carried
+along, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,8 +33,8 @@ SHINGLE = 5
 #: about 19 and 10.
 RADIUS = 36
 FIRST_RADIUS = 22
-#: Rounds that try the nearest text of another group in every tile, before all pairs of different groups are tried.
-ROUNDS = 2
+#: Rounds of nearest texts go on while they link such a share of the pairs that they try.
+WORTH = 0.1
 #: Texts in a tile: a share of all between these.
 TILES = (2048, 16384)
 
@@ -68,7 +71,7 @@ def sketch_of(text: bytes) -> tuple[int, int, int, int]:
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         own = np.array([sketch_of(x.as_py()) for x in batch.column("text")], np.int64).reshape(-1, 4)
-        yield pa.RecordBatch.from_arrays([batch.column("row"), *[pa.array(own[:, i]) for i in range(4)]], names=["row", "own", "n", "low", "high"])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), *[pa.array(own[:, i]) for i in range(4)]], names=["row", "id", "own", "n", "low", "high"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,11 +80,21 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
 
-def _near(a: dict, b: dict, same: bool, one: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Nodes of pairs within the radius that are in different groups: all, or the nearest for each of b."""
+def _nearest(owners: np.ndarray, others: np.ndarray, apart: np.ndarray, best: np.ndarray, bits: np.ndarray) -> None:
+    """Puts each owner's nearest other into best, and how far it is into bits, if that is nearer than what is there."""
+    order = np.lexsort((others, apart, owners))
+    owners, at = np.unique(owners[order], return_index=True)
+    first = order[at]
+    nearer = apart[first] < bits[owners]
+    best[owners[nearer]], bits[owners[nearer]] = others[first][nearer], apart[first][nearer]
+
+
+def _near(a: dict, b: dict, same: bool, one: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(node, node, bits apart) of pairs within the radius that are in different groups: all, or for each node of both
+    tiles its nearest one in the other."""
     size = len(b["low"])
     step = max(1, (1 << 17) // max(1, size))
-    best, bits = np.zeros(size, np.int64), np.full(size, 129)
+    held = [(np.zeros(len(x["low"]), np.int64), np.full(len(x["low"]), 129)) for x in (a, b)]
     for at in range(0, len(a["low"]), step):
         first = np.bitwise_count(a["low"][at : at + step, None] ^ b["low"][None, :]) <= FIRST_RADIUS
         i, j = np.divmod(np.flatnonzero(first), size)
@@ -93,16 +106,16 @@ def _near(a: dict, b: dict, same: bool, one: bool) -> Iterator[tuple[np.ndarray,
         apart = np.bitwise_count(a["low"][i] ^ b["low"][j]).astype(int) + np.bitwise_count(a["high"][i] ^ b["high"][j])
         keep = apart <= RADIUS
         i, j, apart = i[keep], j[keep], apart[keep]
-        if one:
-            order = np.lexsort((i, apart, j))
-            i, j, apart = i[order], j[order], apart[order]
-            j, least = np.unique(j, return_index=True)
-            nearer = apart[least] < bits[j]
-            best[j[nearer]], bits[j[nearer]] = i[least][nearer], apart[least][nearer]
+        if one and len(i):
+            _nearest(j, i, apart, *held[1])
+            if not same:
+                _nearest(i, j, apart, *held[0])
         elif len(i):
-            yield a["node"][i], b["node"][j]
-    if (bits < 129).any():
-        yield a["node"][best[bits < 129]], b["node"][bits < 129]
+            yield a["node"][i], b["node"][j], apart
+    for own, other, (best, bits) in ((a, b, held[0]), (b, a, held[1])):
+        found = bits < 129
+        if found.any():
+            yield own["node"][found], other["node"][best[found]], bits[found]
 
 
 def _compare(one: bool):
@@ -115,14 +128,14 @@ def _compare(one: bool):
         for batch in batches:
             same = batch.column("same").to_pylist()
             for i in range(batch.num_rows):
-                for u, v in _near(tile(batch.column("a"), i), tile(batch.column("b"), i), same[i], one):
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+                for u, v, bits in _near(tile(batch.column("a"), i), tile(batch.column("b"), i), same[i], one):
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(bits, pa.int32())], names=["u", "v", "bits"])
 
     return rows
 
 
 def _proposed(nodes: DataFrame, one: bool) -> DataFrame:
-    """(u, v): pairs of nodes (node, n, low, high, label)."""
+    """(u, v): pairs of nodes (node, n, low, high, label); with one, each node that has any with the nearest."""
     tile = min(max(nodes.count() // 768, TILES[0]), TILES[1])
     # Sizes within a quarter of each other are in the same band or in neighbouring ones.
     rows = nodes.withColumn("band", F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / F.log(F.lit(1.2501))).cast("int"))
@@ -133,7 +146,8 @@ def _proposed(nodes: DataFrame, one: bool) -> DataFrame:
     pairs = tiles.join(F.broadcast(met), "band").select("band", "part", F.col("held").alias("a"), "to", F.explode(F.expr("sequence(if(`to` = band, part, 0), to_k - 1)")).alias("to_part"))
     other = tiles.select(F.col("band").alias("to"), F.col("part").alias("to_part"), F.col("held").alias("b"))
     pairs = pairs.join(other, ["to", "to_part"]).select("a", "b", ((F.col("band") == F.col("to")) & (F.col("part") == F.col("to_part"))).alias("same"))
-    return materialise(pairs.mapInArrow(_compare(one), "u long, v long"))
+    found = pairs.mapInArrow(_compare(one), "u long, v long, bits int")
+    return materialise(found.groupBy("u").agg(F.min(F.struct("bits", "v")).alias("x")).select("u", "x.v") if one else found.select("u", "v"))
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -145,19 +159,29 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialise(both.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v"))
 
 
-def groups(df: DataFrame, row_col: str, text_col: str = "text") -> DataFrame:
-    """(row, group) of the rows that are near copies of others. row_col tells rows apart."""
-    texts = df.select(F.col(row_col).alias("row"), F.encode(text_of(text_col), "UTF-8").alias("text"))
-    sketches = materialise(texts.mapInArrow(_sketches, "row long, own long, n long, low long, high long"))
-    nodes = materialise(sketches.groupBy("own", "n", "low", "high").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("rows")))
+def drop(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df without all but one of each group."""
+    numbered = materialise(df.withColumn("__row", F.monotonically_increasing_id()))
+    texts = numbered.select(F.col("__row").alias("row"), F.col(id_col).cast("long").alias("id"), F.encode(text_of(text_col), "UTF-8").alias("text"))
+    sketches = materialise(texts.mapInArrow(_sketches, "row long, id long, own long, n long, low long, high long"))
+    # Of equal sets the row that would stay is the node; by its key the least of a component is what stays of that.
+    nodes = materialise(sketches.groupBy("own", "n", "low", "high").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("key"), F.count(F.lit(1)).alias("rows")).withColumn("node", F.col("key.row")))
     plain = nodes.select("node", "n", "low", "high")
-    labelled, links = plain.withColumn("label", F.col("node")), None
-    for turn in range(ROUNDS + 1):
-        more = _confirmed(_proposed(labelled, one=turn < ROUNDS), texts)
-        links = more if links is None else links.unionByName(more)
-        roots = materialise(components(links))
-        if turn < ROUNDS:
-            labelled = materialise(plain.join(roots, "node", "left").select("node", "n", "low", "high", F.coalesce("root", "node").alias("label")))
-    placed = nodes.join(roots, "node", "left").where("root is not null or rows > 1")
-    placed = placed.select("own", "n", "low", "high", F.coalesce("root", "node").alias("group"))
-    return materialise(sketches.join(placed, ["own", "n", "low", "high"]).select("row", "group"))
+    active, links = plain.withColumn("label", F.col("node")), None
+    while True:
+        tried = _proposed(active, one=True)
+        good = _confirmed(tried, texts)
+        links = good if links is None else links.unionByName(good)
+        labels = components(links).withColumnRenamed("root", "label")
+        kept = plain.join(tried.select(F.col("u").alias("node")), "node", "left_semi")
+        active = materialise(kept.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+        if good.count() <= WORTH * tried.count():
+            break
+    links = links.unionByName(_confirmed(_proposed(active, one=False), texts))
+    key = nodes.select("node", "key")
+    ends = links.join(key.withColumnsRenamed({"node": "u", "key": "x"}), "u").join(key.withColumnsRenamed({"node": "v", "key": "y"}), "v")
+    roots = components(ends.select(F.col("x").alias("u"), F.col("y").alias("v")))
+    stays = nodes.join(roots.select(F.col("node.row").alias("node"), F.col("root.row").alias("stays")), "node", "left").where("stays is not null or rows > 1")
+    stays = materialise(stays.select("own", "n", "low", "high", F.coalesce("stays", "node").alias("stays")))
+    gone = materialise(sketches.join(stays, ["own", "n", "low", "high"]).where("row <> stays").select(F.col("row").alias("__row")))
+    return numbered.join(gone, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])

@@ -10,8 +10,8 @@ where the documents' words are removed.
 
 Minimisers that many different strings share (a frequent line or word pair) are counted first, over all
 documents; their windows travel one by one to buckets by the hash of the whole window, so that such a
-bucket is split however large it is. The list of these has a bound: a minimiser is in it only with more strings
-than a bucket should have.
+bucket is split however large it is. They are broadcast: HOT_MOST at most, for a minimiser is one of them only with
+more than that share of all strings.
 
 Defined cases: a null text has no words; a text of fewer words than a window loses nothing; a window
 that repeats inside one document only is kept; rows that repeat an identifier are the same document to
@@ -21,7 +21,6 @@ table gives no rows; further columns are left alone, whatever their names.
 
 from __future__ import annotations
 
-import hashlib
 import struct
 from collections.abc import Iterator
 
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frostlake.llm import textvec
-from frostlake.llm.common import shuffle_partitions, text_of
+from frostlake.llm.common import materialise, shuffle_partitions, text_of
 
 WINDOW = 13
 MINIMISER = 3
@@ -42,6 +41,8 @@ BUCKET_BYTES = 6 << 20
 LEVEL = 3
 #: A minimiser is split when it has more different strings than so many average buckets.
 HOT = 0.5
+#: Minimisers that are split at most.
+HOT_MOST = 1 << 20
 
 _BUCKET_SEED = np.uint64(0x2545F4914F6CDD1D)
 
@@ -126,14 +127,17 @@ def _unpack(blob: bytes) -> tuple[bytes, np.ndarray]:
     return raw[8 + 8 * n :], np.frombuffer(raw, "<i8", n, 8)
 
 
-def _hot_minimisers(docs: DataFrame, window: int, minimiser: int, most: float, tasks: int) -> np.ndarray:
-    """Minimisers with more than most strings, counted over all documents. Each task sends those of which it has a
-    share that can add up to that number over so many tasks."""
+_COUNTED = pa.schema([("k", pa.int64()), ("n", pa.int64())])
+
+
+def _hot_minimisers(docs: DataFrame, window: int, minimiser: int, share: float) -> np.ndarray:
+    """Minimisers with more than a share of all strings, counted over all documents. A task sends those that have a
+    quarter of the share of its own strings, however many tasks there are: of what the others have, less than half the share is missed."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
         totals: list[np.ndarray] = []
-        held = 0
+        held = strings = 0
 
         def shrunk():
             k, where = np.unique(np.concatenate(keys), return_inverse=True)
@@ -145,17 +149,21 @@ def _hot_minimisers(docs: DataFrame, window: int, minimiser: int, most: float, t
                 keys.append(got)
                 totals.append(n)
                 held += len(got)
+                strings += int(n.sum())
             if held > 4_000_000:
                 k, n = shrunk()
-                often = n > 1  # what a task has seen once in millions can't be its share of a hot one
+                often = n > 1  # what is seen once in millions adds nothing to a share
                 keys, totals, held = [k[often]], [n[often]], int(often.sum())
         if keys:
             k, n = shrunk()
-            often = n >= max(2.0, most / tasks)
-            yield pa.RecordBatch.from_arrays([pa.array(k[often].view(np.int64)), pa.array(n[often])], names=["k", "n"])
+            often = n >= 0.25 * share * strings
+            yield pa.RecordBatch.from_arrays([pa.array([None]), pa.array([strings])], schema=_COUNTED)
+            yield pa.RecordBatch.from_arrays([pa.array(k[often].view(np.int64)), pa.array(n[often])], schema=_COUNTED)
 
-    found = docs.select("text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") > most).select("k")
-    return np.sort(np.array([r.k for r in found.collect()], np.int64).view(np.uint64))
+    counted = docs.select("text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    found = materialise(counted)
+    strings = found.where("k is null").agg(F.sum("n")).first()[0] or 0
+    return np.sort(np.array([r.k for r in found.where(F.col("k").isNotNull() & (F.col("n") > 0.5 * share * strings)).select("k").collect()], np.int64).view(np.uint64))
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, minimiser: int = MINIMISER) -> DataFrame:
@@ -171,13 +179,15 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     packed = size * (spread + window) / spread
     n_batches = int(max(1, size / BATCH_BYTES, min(parts, size / (1 << 20))))
     n_buckets = int(max(1, packed / BUCKET_BYTES, min(parts, packed / (1 << 20))))
-    most = max(200.0, HOT * strings / n_buckets)
-    hot = _hot_minimisers(docs, window, minimiser, most, 8 * parts) if size else np.zeros(0, np.uint64)
-    dealt = docs.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(n_batches)).cast("int"))
+    share = max(200.0 / strings, HOT / n_buckets, 2.0 / HOT_MOST)
+    hot_list = spark.sparkContext.broadcast(_hot_minimisers(docs, window, minimiser, share) if size else np.zeros(0, np.uint64))
+    # Rows of one identifier, or of none, are spread by their texts.
+    dealt = docs.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(n_batches)).cast("int"))
 
     def runs_of(texts: list[bytes]):
         """For each chunk: where it begins, and (words, joined bytes, at, count, key, doc) of it."""
         joined, n_words = _joined(texts)
+        hot = hot_list.value
         for at, part in textvec.chunks(joined):
             w, first, count, key, doc = super_kmers(part, window, minimiser)
             yield at, len(part), w, _flat(part), *_routes(w, first, count, key, doc, hot, window), n_words

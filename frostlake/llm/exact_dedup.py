@@ -3,9 +3,11 @@
 Texts are equal when identical after each run of blanks is replaced by one space. Rows are dealt by
 sampled splitters over (first bytes, hash, identifier) of the normalised text, each part is sorted
 externally by the whole text, and neighbours are compared in full. The splitters reach down to the
-identifier, so a text held by a third of all rows is spread over as many parts as its rows need;
+identifier, so a text held by a third of all rows is spread over as many parts as its rows need, and the number
+of parts follows the size of the table. A part is read through a batch at a time: a run of equal texts
+that ends in its batch is told at once, what of longer ones is known at their end is joined to their rows;
 the first and last run of each part, which may go on in the next one, are joined by their whole text
-afterwards (at most two rows a part).
+first (at most two rows a part).
 
 Defined cases: null texts count as empty and are equal to each other; rows that repeat an identifier
 are rows of their own, and of equal rows with the smallest identifier one is kept; a null identifier
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from frostlake.llm.common import BLANKS, materialise, shuffle_partitions, text_of
+from frostlake.llm.common import BLANKS, materialise, parts_for, text_of
 
 #: Code points of the normalised text that go into the splitters.
 SPLITTER_PREFIX = 24
@@ -36,11 +38,13 @@ def _sorted_parts(df: DataFrame, id_col: str, text_col: str, rest: list[str]) ->
     norm = F.regexp_replace(text_of(text_col), BLANKS, " ")
     rows = df.select(F.col(id_col).alias("id"), norm.alias("norm"), *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")] if rest else []))
     order = [F.substring("norm", 1, SPLITTER_PREFIX), F.xxhash64("norm"), F.col("id")]
-    parts = rows.repartitionByRange(shuffle_partitions(df.sparkSession), *order)
+    parts = rows.repartitionByRange(parts_for(df), *order)
     return parts.sortWithinPartitions(*order[:2], "norm", "id")
 
 
-_RUNS = pa.schema([("id", pa.int64()), ("sha", pa.string()), ("head", pa.int64()), ("n", pa.int64()), ("first", pa.bool_()), ("at_edge", pa.bool_()), ("edge", pa.string()), ("part", pa.int64())])
+#: A row: its run's first identifier and rows, n null where that is not known yet; or, with id and sha null and whole set, a
+#: run whose rows had none, with its text if it may go on in another part.
+_RUNS = pa.schema([("id", pa.int64()), ("sha", pa.string()), ("head", pa.int64()), ("n", pa.int64()), ("first", pa.bool_()), ("run", pa.int64()), ("part", pa.int64()), ("whole", pa.bool_()), ("edge", pa.string())])
 
 
 def _starts(norm: pa.Array, before: pa.Scalar | None) -> np.ndarray:
@@ -54,34 +58,48 @@ def _starts(norm: pa.Array, before: pa.Scalar | None) -> np.ndarray:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each sorted row: the first identifier and the rows of its run of equal texts, whether it is the
-    run's first row, and whether the run is the first or last of the part; the text of such a run
-    goes with its first row. Holds the part's identifiers and digests, and one batch of texts."""
-    slim, starts, last, edges = [], [], None, [None, None]
+    """The sorted rows with their runs. Holds one batch, and the text of the run that is open."""
+    part = TaskContext.get().partitionId()
+    run, head, n, text = -1, None, 0, None  # the open run
+    none = pa.scalar(None, pa.int64())
+    fixed = lambda value, count, kind: pa.array([value] * count, kind)
+
+    def told(edge: str | None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{"head": head, "n": n, "run": run, "part": part, "whole": True, "edge": edge}], schema=_RUNS)
+
     for batch in batches:
-        if not batch.num_rows:
+        size = batch.num_rows
+        if not size:
             continue
-        norm = batch.column("norm")
-        new = _starts(norm, last)
-        if last is None:
-            edges[0] = norm[0]
-        last = edges[1] = norm[batch.num_rows - 1]
-        slim.append(batch.select(["id", "sha"]))
-        starts.append(new)
-    if not slim:
-        return
-    rows = pa.Table.from_batches(slim).combine_chunks()
-    first = np.concatenate(starts)
-    at = np.flatnonzero(first)
-    run = np.cumsum(first) - 1
-    ids = rows.column("id").combine_chunks() if isinstance(rows.column("id"), pa.ChunkedArray) else rows.column("id")
-    edge = [None] * len(first)
-    edge[at[0]], edge[at[-1]] = edges[0].as_py(), edges[1].as_py()
-    out = pa.Table.from_arrays(
-        [ids, rows.column("sha"), ids.take(pa.array(at[run])), pa.array(np.bincount(run)[run]), pa.array(first), pa.array((run == 0) | (run == run[-1])), pa.array(edge, pa.string()), pa.array(np.full(len(first), TaskContext.get().partitionId(), np.int64))],
-        schema=_RUNS,
-    )
-    yield from out.combine_chunks().to_batches(max_chunksize=100_000)
+        norm, ids = batch.column("norm"), batch.column("id")
+        new = _starts(norm, text)
+        of = run + np.cumsum(new)
+        at = np.flatnonzero(new)
+        counts = np.diff(np.append(at, size))
+        if run >= 0:
+            n += int(at[0]) if len(at) else size
+            if len(at):
+                yield told(text.as_py() if run == 0 else None)
+        heads = ids.take(pa.array(at)) if len(at) else ids.slice(0, 0)
+        # Runs that begin and end here, apart from the part's first, are known.
+        known = np.zeros(size, bool)
+        if len(at) > 1:
+            known[at[0] : at[-1]] = of[at[0] : at[-1]] > 0
+        place = np.cumsum(new) - 1
+        total = np.where(known, counts[np.maximum(place, 0)] if len(at) else 0, 0)
+        if len(at) and run < 0 and len(at) > 1:
+            run, head, n = 0, heads[0].as_py(), int(counts[0])
+            yield told(norm[0].as_py())
+        row_head = heads.take(pa.array(np.maximum(place, 0))) if len(at) else pa.nulls(size, pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [ids, batch.column("sha"), pc.if_else(pa.array(known), row_head, none), pc.if_else(pa.array(known), pa.array(total.astype(np.int64)), none), pa.array(new), pa.array(of.astype(np.int64)), fixed(part, size, pa.int64()), fixed(False, size, pa.bool_()), pa.nulls(size, pa.string())],
+            schema=_RUNS,
+        )
+        if len(at):
+            run, head, n = int(of[-1]), heads[len(at) - 1].as_py(), int(counts[-1])
+        text = norm[size - 1]
+    if run >= 0:
+        yield told(text.as_py())
 
 
 def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,13 +129,14 @@ def mark(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     """(id, keep_id, group_size, kept, text_sha256) for every row of df."""
     parts = _sorted_parts(df, id_col, text_col, [])
     rows = parts.select("id", F.sha2(F.encode("norm", "UTF-8"), 256).alias("sha"), "norm")
-    runs = materialise(rows.mapInArrow(_runs, "id long, sha string, head long, n long, first boolean, at_edge boolean, edge string, part long"))
+    runs = materialise(rows.mapInArrow(_runs, "id long, sha string, head long, n long, first boolean, run long, part long, whole boolean, edge string"))
     # At most two runs a part go on elsewhere; they are joined where their whole texts are equal.
-    edges = runs.where(F.col("edge").isNotNull()).select("part", "sha", "edge", "head", "n")
+    edges = runs.where("whole and edge is not null").select("part", "run", "edge", "head", "n")
     groups = edges.groupBy("edge").agg(F.min_by(F.struct("head", "part"), F.struct(F.col("head").isNotNull(), "head", "part")).alias("won"), F.sum("n").alias("total"))
-    known = edges.join(groups, "edge").select("part", "sha", F.col("won.head").alias("keep"), F.col("won.part").alias("keep_part"), "total")
-    inner = runs.where(~F.col("at_edge")).select("id", F.col("head").alias("keep"), F.col("n").alias("total"), "first", "sha")
-    outer = runs.where("at_edge").join(F.broadcast(known), ["part", "sha"])
+    known = edges.join(groups, "edge").select("part", "run", F.col("won.head").alias("keep"), F.col("won.part").alias("keep_part"), "total")
+    known = known.unionByName(runs.where("whole and edge is null").select("part", "run", F.col("head").alias("keep"), F.col("part").alias("keep_part"), F.col("n").alias("total")))
+    inner = runs.where("not whole and n is not null").select("id", F.col("head").alias("keep"), F.col("n").alias("total"), "first", "sha")
+    outer = runs.where("not whole and n is null").select("id", "sha", "first", "part", "run").join(known, ["part", "run"])
     outer = outer.select("id", "keep", "total", (F.col("first") & (F.col("part") == F.col("keep_part"))).alias("first"), "sha")
     return inner.unionByName(outer).select(F.col("id").alias(id_col), F.col("keep").alias("keep_id"), F.col("total").alias("group_size"), F.col("first").alias("kept"), F.col("sha").alias("text_sha256"))
 

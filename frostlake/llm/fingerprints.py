@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,12 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frostlake.llm import textvec
-from frostlake.llm.common import shuffle_partitions, text_of
+from frostlake.llm.common import materialise, parts_for, shuffle_partitions, text_of
 
 SHINGLE = 5
 K = 128
+#: Keys whose sketches a task holds at once.
+KEYS = 20_000
 #: Rows whose sketches are made together.
 ROWS = 1500
+#: Stands for a null identifier where ranges are made: below all others.
+_NONE = -1e19
 
 
 def sketches(texts: pa.Array, k: int = K, shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -109,39 +114,67 @@ def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def merged(df: DataFrame, key: str, fingerprint_col: str = "fingerprint") -> DataFrame:
-    """(key, fingerprint) of all rows of each key: merged in every task first, so that a key with most rows
-    brings a sketch from each task and no more."""
+    """(key, fingerprint) of all rows of each key: merged in every task first, KEYS keys at a time, so that a key with
+    most rows brings few sketches from each task; then, sorted by key, one after the other."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
         for batch in batches:
             for k, f in zip(batch.column("k").to_pylist(), batch.column("f").to_pylist(), strict=True):
                 held[k] = merge([held.get(k, np.zeros(0, np.uint64)), decode(f or "")])
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([encode(x) for x in held.values()], pa.string())], names=["k", "f"])
+                if len(held) >= KEYS:
+                    yield told(held)
+                    held = {}
+        yield told(held)
+
+    def told(held: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([encode(x) for x in held.values()], pa.string())], names=["k", "f"])
+
+    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            done: dict = {}
+            for k, f in zip(batch.column("k").to_pylist(), batch.column("f").to_pylist(), strict=True):
+                if held and k not in held:
+                    done |= held
+                    held = {}
+                held[k] = merge([held.get(k, np.zeros(0, np.uint64)), decode(f)])
+            yield told(done)
+        yield told(held)
 
     rows = df.select(F.col(key).cast("string").alias("k"), F.col(fingerprint_col).alias("f")).mapInArrow(partial, "k string, f string")
-    return rows.repartition("k").mapInArrow(partial, "k string, f string").select(F.col("k").alias(key), F.col("f").alias(fingerprint_col))
+    return rows.repartition("k").sortWithinPartitions("k").mapInArrow(final, "k string, f string").select(F.col("k").alias(key), F.col("f").alias(fingerprint_col))
 
 
 def _beside_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(bucket, halo, id, text), sorted by descending id inside buckets that are ranges of ids; a copy of the row
-    that follows a bucket's last one is in it too, marked halo. Splitters come from the id column alone."""
+    """(bucket, halo, id, text), sorted by descending id inside buckets that are ranges of ids, those of an id with more
+    rows than a bucket should have by ranges of their texts' hashes; the row that follows a bucket's last one is in
+    it too, marked halo. Splitters come from the id column alone."""
+    spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    at = F.coalesce(F.col("id").cast("double"), F.lit(float("-inf")))
-    n = 4 * shuffle_partitions(df.sparkSession)
-    ids = rows.select("id").where("id is not null")
-    found = ids.select(F.col("id").cast("double").alias("at")).approxQuantile("at", [i / n for i in range(1, n)], 0.25 / n) if n > 1 else []
-    splits = [float("-inf"), *sorted(set(found)), float("inf")]
+    at = F.coalesce(F.col("id").cast("double"), F.lit(_NONE))
+    n = max(4 * shuffle_partitions(spark), parts_for(df))
+    found = rows.select(at.alias("at")).approxQuantile("at", [i / n for i in range(1, n)], 0.25 / n) if n > 1 else []
+    times = Counter(found)
+    # A splitter that comes again has a bucket of its own, from it to the next number.
+    ends = {float(np.nextafter(v, np.inf)) for v, k in times.items() if k > 1}
+    splits = [float("-inf"), *sorted({*times, *ends}), float("inf")]
     splits = splits if len(splits) > 2 else [float("-inf"), 0.0, float("inf")]
-    deal = Bucketizer(splits=splits, inputCol="at", outputCol="bucket").transform
-    tops = deal(rows.select("id", at.alias("at"))).groupBy("bucket").agg(F.max("id").alias("id")).orderBy("bucket").collect()  # a row for each bucket
-    to = [(r.id, tops[(i + 1) % len(tops)].bucket) for i, r in enumerate(tops)]
-    halo = F.broadcast(df.sparkSession.createDataFrame(to, "top long, target double"))
-    dealt = deal(rows.withColumn("at", at)).join(halo, F.col("id").eqNullSafe(F.col("top")), "left")
-    both = dealt.select("id", "text", F.explode(F.expr("filter(array(struct(bucket, false as halo), if(target is not null, struct(target as bucket, true as halo), null)), x -> x is not null)")).alias("x"))
-    both = both.select(F.col("x.bucket").alias("bucket"), F.col("x.halo").alias("halo"), "id", "text")
-    order = ["bucket", "halo", F.col("id").desc_nulls_last(), F.xxhash64("text"), "text"]
-    return both.repartition(n, "bucket").sortWithinPartitions(*order)
+    deal = Bucketizer(splits=splits, inputCol="at", outputCol="range").transform
+    seen = deal(rows.select("id", at.alias("at"))).groupBy("range").agg(F.max("id").alias("top"), F.min("id").alias("low"), F.count("id").alias("n"), F.count(F.lit(1)).alias("all")).collect()  # a row for each range
+    pieces = {r.range: times[splits[int(r.range)]] + 1 for r in seen if times.get(splits[int(r.range)], 0) > 1 and (r.top == r.low and r.n == r.all or r.n == 0)}
+    known = spark.createDataFrame([(r.range, r.top, pieces.get(r.range, 1)) for r in seen] or [(0.0, None, 1)], "range double, top long, pieces int")
+    part = F.floor(F.least(F.lit(0.9999999), F.xxhash64("text") / float(1 << 64) + 0.5) * F.col("pieces"))
+    dealt = deal(rows.withColumn("at", at)).join(F.broadcast(known), "range")
+    # In descending order of ids, and inside one id in ascending order of hashes.
+    place = -F.col("range") * (1 << 20) + F.when(F.col("pieces") > 1, part).otherwise(0)
+    dealt = dealt.select(place.cast("long").alias("bucket"), "id", "text", "top")
+    firsts = materialise(dealt.where(F.col("id").eqNullSafe(F.col("top"))).groupBy("bucket").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "id")).alias("x")))
+    order = sorted(r.bucket for r in firsts.select("bucket").collect())  # a row for each bucket
+    to = spark.createDataFrame([(b, order[i - 1]) for i, b in enumerate(order)] or [(0, 0)], "bucket long, target long")
+    halo = firsts.join(F.broadcast(to), "bucket").select(F.col("target").alias("bucket"), F.lit(True).alias("halo"), "x.id", "x.text")
+    both = dealt.select("bucket", F.lit(False).alias("halo"), "id", "text").unionByName(halo)
+    return both.repartition(n, "bucket").sortWithinPartitions("bucket", "halo", F.col("id").desc_nulls_last(), F.xxhash64("text"), "text")
 
 
 def edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,7 +4,7 @@ Everything is a DataFrame expression; nothing is shuffled. A kind's matches are
 each other; a match that its validator refuses is dropped and not tried again at another place. Places come
 from the lengths of the stretches between matches. A kind has a score of its own, and words near a span
 raise it; a span counts when the score is at least LEAST. The base kinds' own scores are, so their
-validated spans always stay.
+validated spans always stay; numbers of insured persons and secrets count only where words say what they are.
 
 Defined cases: a null text is an empty text, without spans; spans of different kinds may overlap and are
 all told; places are code points, the end exclusive; repeated identifiers are rows of their own; an
@@ -72,6 +72,8 @@ BASE = (
 ADDED = (
     Kind("iban", rf"(?<![A-Za-z0-9])(?:{_LISTED}|(?!{_CODES})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}+)(?![A-Za-z0-9])", 0.7, "rlike(text, '[A-Z]{2}[0-9]{2}')", _with("replace(m, ' ', '')", f"length(d) BETWEEN 15 AND 34 AND {_MOD97}"), r"iban|account|bank|konto|compte|cuenta", 0.3),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3, "rlike(text, '[0-9]-[0-9]')", "NOT rlike(m, '^(000|666|9..)|-00-|0000$')", r"\bssn\b|social.security", 0.5),
+    # A long run of letters and digits, as random ones are: of many different characters.
+    Kind("secret", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+", 0.3, "rlike(text, '[A-Za-z0-9_-]{20}')", "rlike(m, '[0-9]') AND rlike(m, '[A-Za-z]') AND size(array_distinct(split(m, ''))) >= 9", r"token|secret|api.?key|access.?key|passw|bearer|credential", 0.5),
 )
 KINDS = BASE + ADDED
 

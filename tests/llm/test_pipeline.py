@@ -153,3 +153,16 @@ def test_one_row_of_each_group_of_near_copies(spark):
     assert left.columns == docs.columns
     got = [(x.doc_id, x.text.split()) for x in left.collect()]
     assert sorted(str(i) for i, _ in got) == ["3", "5", "7", "None"] and (3, a) in got and (5, b) in got
+
+
+def test_empty_tables_and_repeated_identifiers(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, rows in (("none", []), ("same", [(1, f"the {i} of and to words of its own {i * i}", "en", "s", 1) for i in range(6)] + [(None, None, None, None, None)] * 2)):
+        path = f"file://{tmp_path}/{name}"
+        spark.createDataFrame(rows, schema).write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0)] if rows else [], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+        docs = spark.read.parquet(f"{path}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:3]:
+            docs = stage(spark, docs, path)
+        assert docs.count() == (7 if rows else 0)  # texts of one identifier are documents of their own
+        assert corpus_pipeline.run(spark, path).count() <= docs.count()

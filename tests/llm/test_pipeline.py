@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from frostlake.llm import mixing, packing, quality, simhash
+from frostlake.llm import mixing, near_copies, packing, quality, simhash
 
 
 def corpus(spark, path):
@@ -166,3 +166,30 @@ def test_empty_tables_and_repeated_identifiers(spark, tmp_path):
             docs = stage(spark, docs, path)
         assert docs.count() == (7 if rows else 0)  # texts of one identifier are documents of their own
         assert corpus_pipeline.run(spark, path).count() <= docs.count()
+
+
+def test_forests_span_what_links_join():
+    r = np.random.default_rng(3)
+    for _ in range(30):
+        size = int(r.integers(2, 40))
+        u, v, apart = r.integers(0, size, 60), r.integers(0, size, 60), r.random(60).round(1)
+
+        def roots(links):
+            group = list(range(size))
+            for k in list(links) * size:
+                group[u[k]] = group[v[k]] = min(group[u[k]], group[v[k]])
+            return group
+
+        kept = near_copies.forest(u, v, apart, size)
+        assert roots(kept) == roots(range(60)) and len(kept) == size - len(set(roots(range(60))))
+
+
+def test_bitmaps_rule_out_no_similar_pair():
+    r = np.random.default_rng(4)
+    for size in (64, 256, 4096):
+        a = r.integers(0, 2**63, 300, dtype=np.uint64)
+        b = np.concatenate([a[:270], r.integers(0, 2**63, 30, dtype=np.uint64)])
+        x, y = near_copies.bitmap(a, 4096)[None], near_copies.bitmap(b, 4096)[None]
+        words = size // 64
+        assert np.bitwise_count(near_copies._folded(x, words) ^ near_copies._folded(y, words)).sum() <= 60
+        assert np.array_equal(near_copies._folded(x, words)[0], near_copies.bitmap(a, size))

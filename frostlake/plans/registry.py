@@ -27,7 +27,7 @@ def _query(name: str, oracle: str | None = None):
     """Registers a function of the flow, whose raw records are a stored table as they are in the lake."""
 
     def add(build: Callable[[Flow], DataFrame]) -> Callable[[Flow], DataFrame]:
-        QUERIES[name] = lambda spark, sf_dir: build(Flow(stored(fixtures.raw(spark, sf_dir))))
+        QUERIES[name] = lambda spark, sf_dir: build(Flow(fixtures.captured(spark, sf_dir)))
         if oracle:
             ORACLES[name] = flow(oracle)
         return build
@@ -248,7 +248,7 @@ _KEPT = "source_offset % 50 <> 0"
 
 
 def _reconciled(spark: SparkSession, sf_dir: str, kept: str = "true") -> DataFrame:
-    f = Flow(stored(fixtures.raw(spark, sf_dir).where(kept))).store_joined()
+    f = Flow(stored(fixtures.captured(spark, sf_dir).where(kept))).store_joined()
     return reports.reconcile(f.raw, f.metadata, f.enriched, f.rejected, f.hourly, fixtures.manifest(spark, sf_dir))
 
 

@@ -14,14 +14,14 @@ from frostlake.plans.batch import Flow
 from frostlake.plans.oracles import flow
 from frostlake.sources import fixtures
 from frostlake.sources.schemas import METADATA, SENSOR_TOPICS
-from frostlake.sources.shared import scratch, stored
+from frostlake.sources.shared import scratch
 from frostlake.sources.tables import Lake
 from frostlake.streaming import jobs
 from frostlake.streaming.processors import EVENT, FirstDelivery
 
 
 def _flow(spark: SparkSession, sf_dir: str) -> Flow:
-    return Flow(stored(fixtures.raw(spark, sf_dir)))
+    return Flow(fixtures.captured(spark, sf_dir))
 
 
 def upsert_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:

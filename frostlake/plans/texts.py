@@ -13,12 +13,11 @@ from frostlake.plans import rows
 from frostlake.plans.batch import Flow
 from frostlake.plans.oracles import flow
 from frostlake.sources import fixtures
-from frostlake.sources.shared import scratch, stored
+from frostlake.sources.shared import made_once, scratch
 from frostlake.sources.tables import Lake
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-_lakes: dict[tuple[str, str], str] = {}
 
 
 def written(f: Flow, lake: Lake) -> Lake:
@@ -33,12 +32,8 @@ def written(f: Flow, lake: Lake) -> Lake:
 
 
 def _lake(spark: SparkSession, sf_dir: str) -> Lake:
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _lakes:
-        at = scratch(spark)
-        written(Flow(stored(fixtures.raw(spark, sf_dir))), Lake(spark, at))
-        _lakes[key] = at
-    return Lake(spark, _lakes[key])
+    make = lambda path: written(Flow(fixtures.captured(spark, sf_dir)), Lake(spark, path))
+    return Lake(spark, made_once(spark, "lake", f"{sf_dir}/events.parquet", make))
 
 
 def _text(name: str, sql: str, oracle: str) -> None:

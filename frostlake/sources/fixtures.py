@@ -8,13 +8,17 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from frostlake.sources import avro, framing
-from frostlake.sources.schemas import DETECTION, LOCATION, METADATA, PAYLOADS, SCHEMA_IDS, TELEMETRY, TOPIC_PARTITIONS
+from frostlake.sources.schemas import DETECTION, LOCATION, METADATA, PAYLOADS, RAW, SCHEMA_IDS, TELEMETRY, TOPIC_PARTITIONS
+from frostlake.sources.shared import made_once
 
 MALFORMED = b"not-confluent-avro"
 #: Of the events' identifiers, the modulus and the remainder at which a fault is put in.
 FAULTS = {"unframed": (211, 0), "tombstone": (419, 3), "cut off": (431, 5), "sequence": (307, 5), "type": (101, 7), "produced": (223, 9), "detection": (53, 3), "version": (61, 2), "vehicle": (67, 3)}
+#: Columns of the records: those of the topics, and the arrival (ms).
+CAPTURED = StructType([*RAW.fields, StructField("arrival", LongType())])
 UNDECODABLE = ("unframed", "tombstone", "cut off")
 LATE, AGAIN = (97, 0), (100, 1)
 
@@ -103,6 +107,13 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def captured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """raw as a stored table, which stands in for the topics: made once for an application, as records are captured once, and
+    then read by every query."""
+    at = made_once(spark, "captured", f"{sf_dir}/events.parquet", lambda path: raw(spark, sf_dir).write.parquet(path), "_SUCCESS")
+    return spark.read.schema(CAPTURED).parquet(at)
+
+
 def avro_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same records with binary bodies; the second telemetry schema where there is a signal strength. What the
     schemas have no symbol for can't be written and is cut off."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +27,29 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
+def _status(spark: SparkSession, path: str):
+    """What the file system has of a path, or nothing where it is not there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.getFileStatus(where) if files.exists(where) else None
+
+
+_made: dict[tuple, str] = {}
+
+
+def made_once(spark: SparkSession, name: str, source: str, make: Callable[[str], None], done: str = "") -> str:
+    """A folder that make fills, once for an application and a state of the source's files. done: what is in it when it is whole; where
+    that has gone, it is made anew."""
+    seen = _status(spark, source)
+    key = (spark.sparkContext.applicationId, name, source, seen and seen.getModificationTime())
+    at = _made.get(key)
+    if at is None or _status(spark, f"{at}/{done}") is None:
+        at = scratch(spark)
+        make(at)
+        _made[key] = at
+    return at
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df, written as a table in the shared folder and read again, so that many branches can start from it without its
     being worked out for each, and lost executors cost nothing of it."""

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from frostlake.operators import decode, dedup, enrich, hourly, lateness, rejects, validate
 from frostlake.plans import reports
-from frostlake.sources import framing
+from frostlake.sources import fixtures, framing, shared
 from frostlake.sources.schemas import PAYLOADS, RAW, SCHEMA_IDS
+from tests.conftest import DATA
 
 T0 = 1_700_000_000_000
 TELEMETRY = {"event_id": "event-1", "device_id": "device-1", "event_time": T0, "produced_at": T0, "sequence_number": 1, "measurement_type": "TEMPERATURE", "value": 5.5, "unit": "CELSIUS"}
@@ -169,3 +170,30 @@ def test_queries_match_their_oracles(spark, name):
     assert sorted(names) == sorted(got.columns)
     plain = lambda rows: sorted(repr(tuple(r)) for r in rows)
     assert plain(got.select(*names).collect()) == plain(want.fetchall())
+
+
+def test_capture_is_made_once_and_again_where_it_has_gone(spark, tmp_path):
+    spark.createDataFrame([(1,)], "x int").write.parquet(str(tmp_path / "events.parquet"))
+    made = []
+
+    def make(path):
+        made.append(path)
+        spark.range(3).write.parquet(path)
+
+    source = str(tmp_path / "events.parquet")
+    first = shared.made_once(spark, "test", source, make, "_SUCCESS")
+    assert shared.made_once(spark, "test", source, make, "_SUCCESS") == first and len(made) == 1
+    assert shared.made_once(spark, "other", source, make, "_SUCCESS") != first
+    gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(first)
+    gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+    again = shared.made_once(spark, "test", source, make, "_SUCCESS")
+    assert again != first and spark.read.parquet(again).count() == 3
+    # Other files under the same name are another source.
+    spark.createDataFrame([(2,)], "x int").write.mode("overwrite").parquet(source)
+    assert shared.made_once(spark, "test", source, make, "_SUCCESS") != again
+
+
+def test_captured_equals_raw(spark):
+    captured, made = fixtures.captured(spark, DATA), fixtures.raw(spark, DATA)
+    assert captured.columns == made.columns and captured.count() == made.count()
+    assert captured.exceptAll(made).isEmpty() and made.exceptAll(captured).isEmpty()

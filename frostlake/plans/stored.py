@@ -17,7 +17,7 @@ from frostlake.sources.schemas import METADATA, SENSOR_TOPICS
 from frostlake.sources.shared import scratch
 from frostlake.sources.tables import Lake
 from frostlake.streaming import jobs
-from frostlake.streaming.processors import EVENT, FirstDelivery
+from frostlake.streaming.processors import EVENT, first_deliveries
 
 
 def _flow(spark: SparkSession, sf_dir: str) -> Flow:
@@ -64,18 +64,19 @@ def compaction_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("row_count", "rows_after", F.lit(len(after.files) < len(before.files)).alias("fewer_files"))
 
 
-def _drained(query: StreamingQuery, seconds: int = 300) -> None:
-    """Waits until the stream has nothing new to read, and stops it."""
-    end = time.time() + seconds
+def _drained(query: StreamingQuery) -> None:
+    """Waits until the stream has nothing new to read, however long its batches take, and stops it. All input is there before
+    it starts."""
     try:
-        while time.time() < end:
+        while True:
             if query.exception():
                 raise query.exception()
             seen = query.recentProgress
-            if any(p["numInputRows"] for p in seen) and seen[-1]["numInputRows"] == 0:
+            if seen and seen[-1]["numInputRows"] == 0:
                 return
+            if not query.isActive:
+                raise RuntimeError("the stream ended before it was drained")
             time.sleep(0.5)
-        raise TimeoutError("the stream was not drained in time")
     finally:
         query.stop()
 
@@ -88,7 +89,7 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     shaped = valid.withColumn("watermark_ms", F.lit(None).cast("bigint")).select("kafka_timestamp", *[F.col(x.name).cast(x.dataType).alias(x.name) for x in EVENT.fields])
     shaped.write.parquet(f"{at}/in")
     stream = spark.readStream.schema(shaped.schema).parquet(f"{at}/in").withWatermark("kafka_timestamp", "60 seconds")
-    first = stream.groupBy("event_id").transformWithState(FirstDelivery(), EVENT, "Append", "ProcessingTime")
+    first = first_deliveries(stream, F.col("event_id"))
     provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:

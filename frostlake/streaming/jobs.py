@@ -16,7 +16,7 @@ from frostlake.plans import rows
 from frostlake.sources import avro, framing
 from frostlake.sources.schemas import METADATA, RAW, TABLES
 from frostlake.sources.tables import Lake, LakeTable
-from frostlake.streaming.processors import EVENT, Enrich, FirstDelivery
+from frostlake.streaming.processors import EVENT, Enrich, first_deliveries
 
 #: How bodies are encoded: binary by the registered schemas, or JSON.
 CODECS: dict[str, Callable[[], Column]] = {"avro": avro.record, "json": decode.json_record}
@@ -141,7 +141,7 @@ def refined(bronze: DataFrame, codec: str = "avro") -> DataFrame:
     key = F.when(F.col("source_topic") == METADATA, F.concat_ws("/", "source_topic", "source_partition", "source_offset")).otherwise(F.col("event_id"))
     shaped = valid.withColumn("watermark_ms", F.lit(None).cast("bigint")).select(key.alias("_key"), "kafka_timestamp", *[F.col(f.name).cast(f.dataType).alias(f.name) for f in EVENT.fields])
     reading = F.col("source_topic") != METADATA
-    first = shaped.observe("readings", _count(reading, "readings")).groupBy("_key").transformWithState(FirstDelivery(), EVENT, "Append", "ProcessingTime")
+    first = first_deliveries(shaped.observe("readings", _count(reading, "readings")), F.col("_key"))
     settled = first.observe("first", _count(reading, "first")).groupBy("device_id").transformWithState(Enrich(), EVENT, "Append", "ProcessingTime")
     return settled.observe("settled", _count(lateness.is_missing(), "missing"), _count(~lateness.is_missing() & lateness.is_late(), "late"))
 

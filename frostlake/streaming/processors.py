@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
-from pyspark.sql import Row
+from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
@@ -13,6 +15,8 @@ from frostlake.sources.schemas import METADATA, _struct
 
 DAY_MS = 24 * 3600 * 1000
 WAIT_MS = 10_000
+#: Keys of the state of first deliveries: events share one by their hash, for each key costs calls between Python and the state.
+BUCKETS = 1 << 14
 
 #: What travels through the stateful stages, metadata rows included.
 EVENT = _struct(
@@ -22,29 +26,48 @@ EVENT = _struct(
 _VERSION = StructType([f for f in EVENT.fields if f.name == "effective_from" or f.name in CARRIED])
 
 
+_EVENT_ROW = Row(*EVENT.names)
+
+
 def _row(values: dict) -> Row:
-    return Row(*EVENT.names)(*[values.get(n) for n in EVENT.names])
+    return _EVENT_ROW(*[values.get(n) for n in EVENT.names])
 
 
 class FirstDelivery(StatefulProcessor):
-    """The first row of each key within a day of processing time; later ones don't prolong it. The watermark of
-    the moment goes along as a column, for the stages behind see none."""
+    """The first row of each _key within a day of processing time; later ones don't prolong it. The watermark of
+    the moment goes along as a column, for the stages behind see none. The state's keys are buckets of _key: a batch adds
+    to a bucket one list (JSON) of the keys that are new, which expires by itself, so that calls grow with buckets and not with events."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", _struct("seen boolean"), ttlDurationMs=DAY_MS)
+        self.seen = handle.getListState("seen", _struct("keys string"), ttlDurationMs=DAY_MS)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        if self.seen.exists():
+        order = lambda r: (r["arrival"], r["source_topic"], r["source_partition"], r["source_offset"])
+        first: dict[str, dict] = {}
+        for r in map(Row.asDict, rows):
+            best = first.get(r["_key"])
+            if best is None or order(r) < order(best):
+                first[r["_key"]] = r
+        for (keys,) in self.seen.get():
+            for k in json.loads(keys):
+                first.pop(k, None)
+        if not first:
             return
-        first = min((r.asDict() for r in rows), key=lambda r: (r["arrival"], r["source_topic"], r["source_partition"], r["source_offset"]))
-        self.seen.update((True,))
-        first["watermark_ms"] = timerValues.getCurrentWatermarkInMs() or None
-        yield _row(first)
+        self.seen.appendValue((json.dumps(list(first)),))
+        mark = timerValues.getCurrentWatermarkInMs() or None
+        for r in first.values():
+            yield _row(r | {"watermark_ms": mark})
 
     def close(self) -> None:
         pass
 
 
+def first_deliveries(events: DataFrame, key: Column) -> DataFrame:
+    """EVENT rows of a stream, the first of each key."""
+    rows = events.withColumn("_key", key).withColumn("_bucket", F.pmod(F.xxhash64("_key"), F.lit(BUCKETS)))
+    return rows.groupBy("_bucket").transformWithState(FirstDelivery(), EVENT, "Append", "ProcessingTime")
+
+
 class Enrich(StatefulProcessor):
     """Each event with the best version that is known. Events without one wait for metadata, ten seconds at
     most from the device's first waiting event, and then leave without."""

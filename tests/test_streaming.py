@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import time
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
 from frostlake.operators import hourly
+from frostlake.plans import stored
 from frostlake.plans.batch import Flow
 from frostlake.sources import simulator
 from frostlake.sources.schemas import METADATA as METADATA_TOPIC
@@ -142,6 +144,43 @@ def test_events_wait_for_metadata_and_leave_when_the_timer_expires():
     assert {(r.event_id, r.metadata_version) for r in left} == {("a", None), ("e", None)} and state.list == []
 
 
+def test_first_deliveries_share_a_call_of_the_state():
+    now = type("Now", (), {"getCurrentWatermarkInMs": lambda _: 70})()
+    event = lambda i, arrival, offset=0: processors.Row(*processors.EVENT.names, "_key")(*[{"arrival": arrival, "source_topic": "t", "source_partition": 0, "source_offset": offset, "event_id": i}.get(n) for n in processors.EVENT.names], i)
+    calls = []
+    held = []
+    seen = type("Seen", (), {"get": lambda _: iter(list(held)), "appendValue": lambda _, v: (calls.append(v), held.append(v))})()
+    first = processors.FirstDelivery()
+    first.init(type("Handle", (), {"getListState": lambda *_, **__: seen})())
+    batch = [event(f"e\",{i}", at, at) for at in (2, 1) for i in range(500)]
+    got = list(first.handleInputRows((7,), iter(batch), now))
+    assert sorted((r.event_id, r.arrival, r.watermark_ms) for r in got) == sorted((f"e\",{i}", 1, 70) for i in range(500)) and len(calls) == 1
+    again = list(first.handleInputRows((7,), iter([event("e\",3", 0), event("new", 9)]), now))
+    assert [r.event_id for r in again] == ["new"] and len(calls) == 2
+    assert list(first.handleInputRows((7,), iter([event("new", 0)]), now)) == [] and len(calls) == 2
+
+
+def test_a_long_batch_is_waited_for(monkeypatch):
+    clock = [0.0]
+    monkeypatch.setattr(stored, "time", SimpleNamespace(time=lambda: clock[0], sleep=lambda s: clock.__setitem__(0, clock[0] + 100)))
+
+    class Slow:
+        """Its first batch ends after 2,000 seconds."""
+
+        isActive, stopped = True, False  # noqa: N815
+        recentProgress = property(lambda _: [{"numInputRows": n} for n, at in ((9, 2000), (0, 2100)) if clock[0] >= at])  # noqa: N815
+
+        def exception(self):
+            return None
+
+        def stop(self):
+            self.stopped = True
+
+    query = Slow()
+    stored._drained(query)
+    assert query.stopped and clock[0] >= 2100
+
+
 def test_kafka_columns(spark):
     schema = "key binary, value binary, topic string, partition int, offset long, timestamp timestamp, timestampType int"
     got = spark.createDataFrame([(bytearray(b"d"), bytearray(b"\0\0\0\0\2x"), "location", 3, 7, None, 0), (None, None, "metadata", 0, 0, None, 0)], schema)

@@ -9,12 +9,22 @@ from frostlake.sources.shared import scratch
 
 #: Fixed value: the characters that separate words, as a regular expression.
 BLANKS = "[\\x20\\x09-\\x0D]+"
+#: Rows of a Parquet file that a task holds at once where whole texts are read.
+READ_ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_few_rows(spark: SparkSession) -> None:
+    """From here on Spark's Parquet reader holds READ_ROWS rows a task at most. Its own 4,096 whole texts are arrays of
+    tens of MB, which it doubles as they fill, in every task. The session keeps this, as results are read when they are written."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    if int(spark.conf.get(key)) > READ_ROWS:
+        spark.conf.set(key, str(READ_ROWS))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import os
 import re
+import subprocess
+import sys
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -117,6 +121,33 @@ def test_mixing_with_targets_out_of_reach(spark, tmp_path):
     assert kept.count() == kept.distinct().count() == mixing.copies(spark.createDataFrame(rated)).where("copies > 0").count()
 
 
+#: Mixing, the fourth stage, in a process of its own: heaps are a process's.
+IN_A_SMALL_HEAP = """
+import json, sys
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+import corpus_pipeline
+
+path = sys.argv[1]
+conf = {"spark.driver.memory": "512m", "spark.sql.shuffle.partitions": "3", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": path}
+spark = SparkSession.builder.master("local[2]").config(map=conf).getOrCreate()
+corpus_pipeline.mix_sources(spark, spark.read.parquet(f"{path}/documents.parquet"), path).write.parquet(f"{path}/mixed")
+print(json.dumps(spark.read.parquet(f"{path}/mixed").agg(F.count("*"), F.sum(F.length("text"))).first()))
+"""
+
+
+def test_long_texts_are_read_in_a_small_heap(spark, tmp_path):
+    # One file whose 4,096 texts of 64 KB are more than half of the heap; all in the language wanted most, so that few are left out.
+    path = f"file://{tmp_path}"
+    rows = spark.range(4096, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("the "), F.lpad("id", 4092, "x")), 16).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(65536).cast("long").alias("n_chars"))
+    rows.write.parquet(f"{path}/documents.parquet")
+    rows.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")).write.parquet(f"{path}/labels.parquet")
+    done = subprocess.run([sys.executable, "-c", IN_A_SMALL_HEAP, path], env={k: v for k, v in os.environ.items() if not k.startswith("PYSPARK_GATEWAY")}, capture_output=True, text=True, timeout=240)
+    assert done.returncode == 0, done.stderr[-2000:]
+    count, size = json.loads(done.stdout.splitlines()[-1])
+    assert size == count * 65536 and 0.5 * 4096 < count <= 4096
+
+
 def edited(r, words, n):
     words = list(words)
     for at in r.choice(len(words), n, replace=False):
